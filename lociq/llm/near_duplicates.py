@@ -2,7 +2,8 @@
 
 1. Each distinct text gets min-hashes of its windows in bands of two, and a fingerprint of 192
    bits: each bit comes from the least window hash in one of 192 bins, so the distance of two
-   fingerprints follows the similarity of the window sets.
+   fingerprints follows the similarity of the window sets. Windows that a large part of all
+   texts has take no part in the bands, unless they are a large part of the text.
 2. Rows (band key, fingerprint) are sorted by key. In a bucket the fingerprints are turned into
    bit planes, 64 of them to a word, and many distances grow at once in carry-save counters of
    whole words; a block is abandoned as soon as every lane is beyond the radius. A bucket
@@ -29,6 +30,7 @@ from lociq.session import cut
 
 BITS = 192
 WORDS = BITS // 64
+SLOTS = 1 << 22
 _ALL = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -42,13 +44,31 @@ def window_hashes(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.nda
 
 
 def fingerprints(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """(texts, WORDS) fingerprints of window hashes."""
-    least = np.full(len(n) * BITS, _ALL)
-    slot = (h % U(BITS)).astype(np.int64) + np.repeat(np.arange(len(n), dtype=np.int64) * BITS, n)
-    np.minimum.at(least, slot, mix(h + U(77)))
-    bits = (least & U(1)).astype(np.uint8)
-    bits[least == _ALL] = 0
-    return np.packbits(bits.reshape(-1, BITS), axis=1, bitorder="little").view(U)
+    """(texts, WORDS) fingerprints of window hashes; every text must have a window.
+
+    One hash puts each window into one bin. Bins that stay empty are filled by the next hash,
+    and so on; a text of few windows takes more rounds. So each bit is equal in two texts
+    with the probability that a min-hash would give it, at the cost of a few hashes only.
+    """
+    out = np.zeros(len(n) * BITS, np.uint8)
+    full = np.zeros(len(n) * BITS, bool)
+    rounds = np.clip(-(-6 * BITS // np.maximum(n, 1)), 1, 30)
+    owner = np.repeat(np.arange(len(n), dtype=np.int64) * BITS, n)
+    for r in range(int(rounds.max(initial=0))):
+        if r and (rounds <= r).any():
+            keep = np.repeat(rounds > r, n)
+            h, owner, n, rounds = h[keep], owner[keep], n[rounds > r], rounds[rounds > r]
+        v = h * U(0x9E3779B97F4A7C15 + 2 * r * 0x51ED270B)
+        v ^= v >> U(29)
+        v *= U(0xBF58476D1CE4E5B9)
+        slot = owner + (((v >> U(40)) * U(BITS)) >> U(24)).astype(np.int64)
+        least = np.full(len(out), 0xFFFFFFFF, np.uint32)
+        np.minimum.at(least, slot, (v >> U(8)).astype(np.uint32))
+        new = ~full & (least != 0xFFFFFFFF)
+        # The bit must not follow from the value being small.
+        out[new] = ((least[new].astype(U) * U(0x94D049BB133111EB)) >> U(63)).astype(np.uint8)
+        full |= new
+    return np.packbits(out.reshape(-1, BITS), axis=1, bitorder="little").view(U)
 
 
 def band_keys(h: np.ndarray, n: np.ndarray, bands: int) -> np.ndarray:
@@ -238,18 +258,58 @@ def _texts(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), F.unhex(F.md5(t)).alias("digest"), t.alias("text"))
 
 
-def _band_rows(texts: DataFrame, width: int, bands: int) -> DataFrame:
-    """(key, fingerprint): ``bands`` rows a text. Copies met by the same task go once."""
+def hot_slots(texts: DataFrame, width: int) -> np.ndarray:
+    """Windows that stand in at least 2 % of all texts (and 50 texts), as a table of hashed
+    slots of a fixed size. They make unlike texts meet, so band keys are taken without them.
+
+    Each task counts all of its texts' windows and reports slots that make up 1 % of them; at
+    most 100 times a text's mean number of windows, whatever the number of texts.
+    """
 
     def run(batches):
-        seen = Seen()
+        count, docs = np.zeros(SLOTS, np.int32), 0
+        for b in pieces(batches, 0, 2_000_000):
+            h, n = window_hashes(*letters(b.column(0)), width)
+            count += np.bincount((h >> U(20)).astype(np.int64) & (SLOTS - 1), minlength=SLOTS).astype(np.int32)
+            docs += len(n)
+        if docs:
+            at = np.nonzero(count >= max(1, docs // 100))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(count[at], docs).astype(np.int64))], names=["slot", "n"])
+
+    rows = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    total = F.broadcast(rows.where("slot = -1").select(F.col("n").alias("docs")))  # one row
+    hot = rows.where("slot >= 0").join(total).where((F.col("n") >= 0.02 * F.col("docs")) & (F.col("n") >= 50)).select("slot").toArrow()
+    out = np.zeros(SLOTS, bool)
+    out[hot.column(0).to_numpy()] = True
+    return out
+
+
+def _band_rows(texts: DataFrame, width: int, bands: int, most_hot: float = 0.15) -> DataFrame:
+    """(key, fingerprint): ``bands`` rows a text. Copies met by the same task go once.
+
+    Keys leave hot windows out. A text of which more than ``most_hot`` is hot gets keys of all
+    its windows besides. Of a similar pair either both texts do and meet there, or the hot part
+    of one is small, and what they share of the rest is nearly the whole share.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(np.packbits(hot_slots(texts, width)))
+
+    def run(batches):
+        seen, hot = Seen(), np.unpackbits(sent.value).astype(bool)
         for b in pieces(batches, 1, 2_000_000):
             b = b.take(pa.array(seen.fresh(b.column(0).to_pylist()), pa.int64()))
             if not b.num_rows:
                 continue
             h, n = window_hashes(*letters(b.column(1)), width)
-            keys, fp = band_keys(h, n, bands), fingerprints(h, n)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), *_fp_arrays(np.repeat(fp, bands, axis=0))], names=["key", *_FP])
+            fp = fingerprints(h, n)
+            owner = np.repeat(np.arange(len(n)), n)
+            is_hot = hot[(h >> U(20)).astype(np.int64) & (SLOTS - 1)]
+            n_cold = np.bincount(owner[~is_hot], minlength=len(n))
+            cold, dense = np.nonzero(n_cold)[0], np.nonzero(n - n_cold > most_hot * n)[0]
+            in_dense = np.isin(owner, dense)
+            for who, part, size in ((cold, h[~is_hot], n_cold[cold]), (dense, h[in_dense], n[dense])):
+                if len(who):
+                    keys = band_keys(part, size, bands)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), *_fp_arrays(np.repeat(fp[who], bands, axis=0))], names=["key", *_FP])
 
     return texts.select("digest", "text").mapInArrow(run, T.StructType([T.StructField("key", _LONG), *_fp_fields("f")]))
 
