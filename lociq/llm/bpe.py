@@ -204,9 +204,18 @@ def _rows(ids: pa.Array, flat: list[int], off: list[int], names: list[str]) -> p
     return pa.RecordBatch.from_arrays([ids, lists], names=names)
 
 
-def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """(id, n_tokens) of every document."""
-    return token_ids(docs, id_col, text_col, name, folder).select(id_col, F.size("ids").alias("n_tokens"))
+def with_counts(docs: DataFrame, text_col: str = "text", out: str = "n_tokens", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """The rows with the number of tokens of their text; 0 for a null or empty one."""
+    sent = docs.sparkSession.sparkContext.broadcast(pack(name, folder))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        a = automaton(sent.value)
+        for b in batches:
+            n = [len(a.encode(t)) if t else 0 for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int32())], names=[*b.schema.names, out])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.IntegerType())]))
 
 
 def decoded(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociq.functions.keys import clean_sequence, present, trim_key
-from lociq.llm import bpe, cooccurrence, near_duplicates, shared_spans
+from lociq.llm import bpe, cooccurrence, garbled, near_duplicates, packing, shared_spans
 from lociq.sources.tables import table
 
 
@@ -54,9 +54,31 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.token_ids(table(spark, d, "documents"), "doc_id", "text", "byte_bpe_50k")
 
 
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    docs, specs = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "packspecs")
+    return packing.pack_texts(docs, specs, "doc_id", "text", "byte_bpe_50k")
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).select("spec_id", F.col("id").alias("doc_id"), "piece", "container", "tokens")
+
+
+def p8_usage(spark: SparkSession, d: str) -> DataFrame:
+    return packing.usage(_packed(spark, d), table(spark, d, "packspecs"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.garbled(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
+
+
+def p9_restored(spark: SparkSession, d: str) -> DataFrame:
+    return garbled.restored(table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_shared_share": p3_shared_share,
     "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids,
+    "p8_containers": p8_containers, "p8_usage": p8_usage, "p9_found": p9_found, "p9_restored": p9_restored,
 }
 
 _SEQ = """
