@@ -65,8 +65,11 @@ class Letters:
         self.cost = lru_cache(200_000)(self._cost)
 
     def _cost(self, a: str, b: str) -> float:
-        alone = (float(self.singles[ord(b) % SINGLES]) + 1e-3) / (self.total + SINGLES * 1e-3)
-        return math.log((float(self.pairs[_slot(a, b)]) + 0.5 * alone) / (float(self.singles[ord(a) % SINGLES]) + 0.5))
+        left, right = float(self.singles[ord(a) % SINGLES]), float(self.singles[ord(b) % SINGLES])
+        alone = (right + 1e-3) / (self.total + SINGLES * 1e-3)
+        # A pair can't be commoner than its letters: what other pairs left in its slot is cut off.
+        seen = min(float(self.pairs[_slot(a, b)]), left, right)
+        return math.log((seen + 0.5 * alone) / (left + 0.5))
 
     def score(self, word: str) -> float:
         at, s = _EDGE, 0.0
