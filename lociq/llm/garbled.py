@@ -71,6 +71,9 @@ class Letters:
         seen = min(float(self.pairs[_slot(a, b)]), left, right)
         return math.log((seen + 0.5 * alone) / (left + 0.5))
 
+    def known(self, c: str) -> bool:
+        return self.singles[ord(c) % SINGLES] > 0
+
     def score(self, word: str) -> float:
         at, s = _EDGE, 0.0
         for c in word:
@@ -121,34 +124,56 @@ def _readings(part: tuple[int | None, ...]) -> tuple[str, ...]:
     return tuple(found)
 
 
+@lru_cache(64)
+def _shape(codec: str) -> regex.Pattern:
+    """What a UTF-8 sequence looks like when read by a codec, lost bytes included."""
+    of: dict[int, str] = {b: regex.escape(c) for c, b in _bytes_of(codec).items()}
+    some = lambda lo, hi: "".join(of[b] for b in range(lo, hi + 1) if b in of)
+    tail = f"[{some(0x80, 0xBF)}?{LOST}]"
+    kinds = ((0xC2, 0xDF, 1), (0xE0, 0xEF, 2), (0xF0, 0xF4, 3))
+    return regex.compile("|".join(f"[{some(lo, hi)}]{tail}{{{n}}}" for lo, hi, n in kinds if some(lo, hi)))
+
+
 def undo_utf8(word: str, codec: str, letters: Letters) -> str | None:
     """The likeliest word whose UTF-8 bytes, read by ``codec``, give ``word``; None if no part
-    of it can be read so. Characters that fit no sequence stay."""
+    of it can be read so. Characters that fit no sequence stay. A sequence without a wildcard
+    must stand for a character that the corpus knows."""
+    if not _shape(codec).search(word):
+        return None
     table = _bytes_of(codec)
     lattice: list[int | None] = [None if c in "?" + LOST else table.get(c, -1) for c in word]
     n = len(word)
-    sizes = [_sequence(lattice, i) if lattice[i] is not None and lattice[i] > 0 else 0 for i in range(n)]
-    if not any(sizes):
+    steps: list[tuple[int, tuple[str, ...]]] = []  # (size, characters) at each place
+    some, open_ = False, False
+    for i in range(n):
+        size = _sequence(lattice, i) if lattice[i] is not None and lattice[i] > 0 else 0
+        options = _readings(tuple(lattice[i : i + size])) if size else ()
+        options = tuple(c for c in options if letters.known(c))
+        some |= bool(options)
+        open_ |= len(options) > 1
+        steps.append((size, options) if options else (1, (word[i],)))
+    if not some:
         return None
+    if not open_:  # one way through the lattice
+        out, i = [], 0
+        while i < n:
+            size, options = steps[i]
+            out.append(options[0])
+            i += size
+        return "".join(out)
     # Viterbi: the states at a place are the possible last characters.
     states: list[dict[str, tuple[float, str | None, int]]] = [{} for _ in range(n + 1)]
     states[0][_EDGE] = (0.0, None, 0)
-    inside = 0
     for i in range(n):
         if not states[i]:
             continue
-        size = sizes[i]
-        options = _readings(tuple(lattice[i : i + size])) if size else ()
-        if not options:
-            options, size = (word[i],), 1
-        # Keep the best few ways in: only they can lead on to the best way out.
-        best = sorted(states[i].items(), key=lambda x: -x[1][0])[:32]
+        size, options = steps[i]
+        ways = [(p, s) for p, (s, _, _) in states[i].items()]
         to = states[i + size]
         for c in options:
-            s, back = max((s + letters.cost(p, c), p) for p, (s, _, _) in best)
+            s, back = max((s + letters.cost(p, c), p) for p, s in ways)
             if c not in to or s > to[c][0]:
                 to[c] = (s, back, i)
-        inside += 1
     at, c = n, max(states[n], key=lambda x: states[n][x][0] + letters.cost(x, _EDGE))
     out = []
     while c != _EDGE:
@@ -160,6 +185,12 @@ def undo_utf8(word: str, codec: str, letters: Letters) -> str | None:
 
 def undo_swap(word: str, written: str, read: str) -> str | None:
     """The word with its bytes read as they were written; None where that isn't possible."""
+    try:
+        return word.encode(read).decode(written)
+    except UnicodeDecodeError:
+        return None
+    except UnicodeEncodeError:
+        pass
     table = _bytes_of(read)
     raw = bytearray()
     for c in word:
@@ -197,7 +228,7 @@ def proposals(word: str, letters: Letters, depth: int = 3) -> list[tuple[str, st
     if not out and len(word) >= 4:
         for written, read in SWAPPED:
             c = undo_swap(word, written, read)
-            if c and c != word and c not in out and letters.score(c) > own + 4:
+            if c and c != word and c not in out and all(letters.known(x) for x in c if x > "\x7f") and letters.score(c) > own + 4:
                 out[c] = "swap"
     return sorted(out.items(), key=lambda x: -letters.score(x[0]))[:4]
 
@@ -242,75 +273,74 @@ def letter_pairs(counts: DataFrame) -> Letters:
 _MODELS: dict[int, Letters] = {}
 
 
-def _suspects(docs: DataFrame, id_col: str, text_col: str, model) -> DataFrame:
-    """(id, word, restored, kind): words of each document with what they may have been."""
+class _Model:
+    """A broadcast letter-pair model, put together once in each worker."""
 
-    def run(batches):
-        if model.id not in _MODELS:
+    def __init__(self, sc, letters: Letters):
+        self.data = sc.broadcast((letters.pairs, letters.singles))
+        self.id = int(letters.pairs.sum()) ^ int(np.bitwise_xor.reduce(letters.pairs * np.arange(1, PAIRS + 1)))
+
+    def get(self) -> Letters:
+        if self.id not in _MODELS:
             _MODELS.clear()
-            _MODELS[model.id] = Letters(*model.data.value)
-        letters = _MODELS[model.id]
-        known: dict[str, list[tuple[str, str]]] = {}
-        for b in batches:
-            ids, rows = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
-                if not t or t.isascii():
-                    continue
-                if LOST in t:
-                    ids.append(i)
-                    rows.append((None, None, "lost"))
-                for w in dict.fromkeys(words(t)):
-                    p = known.get(w)
-                    if p is None:
-                        if len(known) > 300_000:
-                            known.clear()
-                        p = known[w] = proposals(w, letters)
-                        if LOST in w:
-                            p.append((None, "lost"))
-                    for c, kind in p:
-                        ids.append(i)
-                        rows.append((w, c, kind))
-            if ids:
-                w, c, k = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids)), pa.array(w, pa.string()), pa.array(c, pa.string()), pa.array(k, pa.string())], names=["id", "word", "restored", "kind"])
-
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("word", T.StringType()), T.StructField("restored", T.StringType()), T.StructField("kind", T.StringType())])
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+            _MODELS[self.id] = Letters(*self.data.value)
+        return _MODELS[self.id]
 
 
-class _Model:
-    """A broadcast letter-pair model with the key under which workers keep it."""
+def _proposed(counts: DataFrame, model: _Model) -> DataFrame:
+    """(word, restored, kind, n): what each different word of the corpus may have been; each is
+    searched once, wherever and however often it stands."""
 
-    def __init__(self, sc, letters: Letters):
-        self.data = sc.broadcast((letters.pairs, letters.singles))
-        self.id = self.data._jbroadcast.id() if self.data._jbroadcast is not None else id(self.data)
-        self._keep = letters
+    def run(batches):
+        letters = model.get()
+        for b in batches:
+            rows = []
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows += [(w, c, kind, n) for c, kind in proposals(w, letters)]
+            w, c, k, n = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(c, pa.string()), pa.array(k, pa.string()), pa.array(n, pa.int64())], names=["word", "restored", "kind", "n_raw"])
 
-    def __getstate__(self):
-        return {"data": self.data, "id": self.id}
+    spread = counts.hint("rebalance").repartition(F.col("word"))
+    return spread.select("word", "n").mapInArrow(run, "word string, restored string, kind string, n_raw long")
 
 
-def _decided(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(suspect rows, damaged words with their restored forms, word counts)."""
+def damaged_words(docs: DataFrame, text_col: str) -> DataFrame:
+    """(word, restored): words of the corpus that came from a wrong decoding, and the likeliest
+    original; null where a lost character can't be told."""
     counts = cut(word_counts(docs, text_col))
     model = _Model(docs.sparkSession.sparkContext, letter_pairs(counts))
-    rows = cut(_suspects(docs, id_col, text_col, model))
-    c = counts.select(F.col("word").alias("w"), "n")
-    asked = rows.where("word IS NOT NULL AND restored IS NOT NULL").select("word", "restored", "kind").distinct()
-    asked = asked.join(c.select(F.col("w").alias("word"), F.col("n").alias("n_raw")), "word", "left").join(c.select(F.col("w").alias("restored"), F.col("n").alias("n_new")), "restored", "left")
-    new, raw = F.coalesce("n_new", F.lit(0)), F.coalesce("n_raw", F.lit(0))
+    asked = cut(_proposed(counts, model)).join(counts.select(F.col("word").alias("restored"), F.col("n").alias("n_new")), "restored", "left")
+    new, raw = F.coalesce("n_new", F.lit(0)), F.col("n_raw")
     # Bytes that are valid UTF-8 and make likelier letters prove enough, and word counts pick
     # among such readings. A mere swap of codecs needs the restored word to be well known.
     ok = (F.col("kind") == "utf8") | ((new >= 3) & (new >= 5 * raw))
     best = asked.where(ok).groupBy("word").agg(F.max_by("restored", F.struct(new, -F.length("restored"), F.col("restored"))).alias("restored"))
-    # A lost character: the commonest word that fits around it.
-    hidden = counts.where(~F.col("word").contains(LOST)).select("word", "n", F.regexp_replace("word", r"[^\x00-\x7f]", LOST).alias("hull"))
-    lost = rows.where("kind = 'lost' AND word IS NOT NULL").select("word").distinct()
-    hull = lost.select("word", F.regexp_replace("word", r"[^\x00-\x7f]", LOST).alias("hull"))
-    fits = hull.join(hidden.select(F.col("word").alias("whole"), "n", "hull"), "hull").where(F.length("word") == F.length("whole"))
-    found = fits.groupBy("word").agg(F.max_by("whole", F.struct("n", "whole")).alias("restored"))
-    known = best.join(found.select("word"), "word", "left_anti").unionByName(found)
-    return rows, known, counts
+    # A lost character: the commonest word of the corpus that fits around it.
+    whole = counts.where(~F.col("word").contains(LOST)).select(F.col("word").alias("fit"), "n", F.regexp_replace("word", r"[^\x00-\x7f]", LOST).alias("hull"))
+    lost = counts.where(F.col("word").contains(LOST)).select("word", F.regexp_replace("word", r"[^\x00-\x7f]", LOST).alias("hull"))
+    # The better half of the join is summed up first, so that a common hull is one row.
+    whole = whole.groupBy("hull").agg(F.max_by("fit", F.struct("n", "fit")).alias("fit"))
+    found = lost.join(whole, "hull", "left").select("word", F.col("fit").alias("restored"))
+    return cut(best.join(lost.select("word"), "word", "left_anti").unionByName(found))
+
+
+def document_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, word): the different words beyond ASCII of each document."""
+
+    def run(batches):
+        for b in batches:
+            at, out = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                if t and not t.isascii():
+                    w = dict.fromkeys(words(t))
+                    if LOST in t:
+                        w[LOST] = None  # also where it stands in no word
+                    out += w
+                    at += [i] * len(w)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.string())], names=["id", "word"])
+
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("word", T.StringType())])
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
 def garbled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,10 +350,9 @@ def garbled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Null and empty texts are clean. Repeated ids come out once; a null id is kept. Whole texts
     are searched, however long; other columns are ignored; an empty table gives no rows.
     """
-    rows, known, _ = _decided(docs, id_col, text_col)
-    lost = rows.where("kind = 'lost'").select("id")
-    hit = rows.where("word IS NOT NULL").select("id", "word").join(known, "word", "left_semi").select("id")
-    return lost.unionByName(hit).distinct()
+    bad = damaged_words(docs, text_col).select("word")
+    w = document_words(docs, id_col, text_col)
+    return w.join(bad, "word", "left_semi").select("id").unionByName(w.where(F.col("word") == LOST).select("id")).distinct()
 
 
 def restored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,10 +361,11 @@ def restored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Cases as ``garbled``; ids must be unique here, since a text is restored by its id.
     """
-    rows, known, _ = _decided(docs, id_col, text_col)
-    fixes = rows.where("word IS NOT NULL").select("id", "word").distinct().join(known, "word").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("word", "restored"))).alias("fixes"))
-    lost = rows.where("kind = 'lost'").select("id").distinct()
-    ids = lost.join(fixes, "id", "full")
+    bad = damaged_words(docs, text_col)
+    w = document_words(docs, id_col, text_col)
+    hit = w.join(bad, "word")
+    fixes = hit.where("restored IS NOT NULL").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("word", "restored"))).alias("fixes"))
+    ids = hit.select("id").unionByName(w.where(F.col("word") == LOST).select("id")).distinct().join(fixes, "id", "left")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id")
 
     def run(batches):
