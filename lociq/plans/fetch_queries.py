@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lociq.functions import render
 from lociq.functions.keys import trim_key
 from lociq.operators import filters, matrix, sequences, store
-from lociq.plans.sqlviews import CLUSTER, DOMAIN, GENOME, KEYWORD, PROTEIN, sql
+from lociq.plans.sqlviews import CLUSTER, DOMAIN, FOLD, GENOME, KEYWORD, PROTEIN, sql
 from lociq.schemas import RANKS
 from lociq.sources import catalog, readers
 from lociq.sources.tables import table
@@ -327,7 +327,8 @@ def dml5_update_taxonomy(spark: SparkSession, d: str) -> DataFrame:
 
 def dml6_extend_domains(spark: SparkSession, d: str) -> DataFrame:
     m = catalog.domains(spark, d)
-    r = store.extend_domains(m.where("ID % 2 = 0"), m.where("ID % 2 = 1"))
+    strong = F.coalesce(F.col("score") > 200, F.lit(False))
+    r = store.extend_domains(m.where(strong), m.where(~strong))
     return r.select("proteinID", render.architecture("domains").alias("arch"))
 
 
@@ -453,6 +454,7 @@ FROM (SELECT DISTINCT genome FROM marker) CROSS JOIN (SELECT file, max(length(se
     "src16_recursive_lineage": sql(GENOME, "w AS (SELECT * FROM genome WHERE Completeness > 99)", body=" UNION ".join(f"SELECT concat({_NODE[5]}) AS taxid, '{r.lower()}' AS rank, {r} AS name FROM w" for r in ("Superkingdom", "Phylum", "Class", "Ordnung", "Family", "Genus"))),
     "dml3_insert_absent": sql(GENOME, CLUSTER, body="SELECT genomeID FROM genome UNION SELECT genomeID FROM cluster_ WHERE genomeID IS NOT NULL"),
     "dml5_update_taxonomy": sql(GENOME, body="SELECT g.genomeID, coalesce(n.s, g.Strain) AS Strain FROM genome g LEFT JOIN (SELECT trim(genomeID, ' ' || chr(9)) AS id, max('re ' || Strain) AS s FROM genomes WHERE deleted_at IS NOT NULL GROUP BY 1) n ON n.id = g.genomeID"),
+    "dml6_extend_domains": sql(DOMAIN, FOLD.replace("ORDER BY ID)", "ORDER BY CASE WHEN score > 200 THEN 0 ELSE 1 END, ID)"), body="SELECT proteinID, arch FROM arch"),
     "dml7_replace_keywords": sql(KEYWORD, body="SELECT ID, clusterID, keyword FROM keyword_ WHERE clusterID NOT IN (SELECT clusterID FROM keyword_ WHERE completeness = 1) UNION ALL SELECT DISTINCT 0, clusterID, 'renewed' FROM keyword_ WHERE completeness = 1"),
     "dml8_rename_domain": sql(PROTEIN, DOMAIN, body="SELECT ID, CASE WHEN domain = 'BruaN' AND proteinID IN (SELECT proteinID FROM protein WHERE clusterID IS NOT NULL) THEN 'BruaN_new' ELSE domain END AS domain FROM domain_"),
     "dml9_delete_cascade": sql(PROTEIN, DOMAIN, GENOME, CLUSTER, KEYWORD, "gone AS (SELECT genomeID FROM genome WHERE Completeness < 85)", body="""SELECT 'genomes' AS table_name, count(*) AS n FROM genome WHERE genomeID NOT IN (FROM gone)
