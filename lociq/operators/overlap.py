@@ -20,7 +20,7 @@ def above_cutoff(hits: DataFrame, cutoffs: DataFrame, default: float = DEFAULT_C
 def below_cutoff(hits: DataFrame, cutoffs: DataFrame, share: float = 0.1) -> DataFrame:
     """Hits of listed models strictly between ``share`` of the cutoff and the cutoff."""
     t = cutoffs.select(F.col("hmm").alias("domain"), "cutoff")
-    return hits.join(t, "domain").where((F.col("score") > F.col("cutoff") * share) & (F.col("score") < F.col("cutoff")))
+    return hits.join(t, "domain").where((F.col("score") > F.col("cutoff") * share) & (F.col("score") < F.col("cutoff"))).drop("cutoff")
 
 
 def best_report(hits: DataFrame, by: Sequence[str], score: str, order: str) -> DataFrame:
