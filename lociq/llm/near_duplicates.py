@@ -1,8 +1,8 @@
 """Near-duplicate records: all pairs of texts whose letter windows are similar enough.
 
 1. Each distinct text gets min-hashes of its windows in bands of two, and a fingerprint of 192
-   bits: each bit comes from the least window hash in one of 192 bins, so the distance of two
-   fingerprints follows the similarity of the window sets. Windows that a large part of all
+   bits, one of each of 192 min-hashes, so the distance of two fingerprints follows the
+   similarity of the window sets. Windows that a large part of all
    texts has take no part in the bands, unless they are a large part of the text.
 2. Rows (band key, fingerprint) are sorted by key. In a bucket the fingerprints are turned into
    bit planes, 64 of them to a word, and many distances grow at once in carry-save counters of
@@ -43,57 +43,38 @@ def window_hashes(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.nda
     return mix(rolling(data, width, 13, 5)[at]) if len(at) else np.zeros(0, U), n
 
 
-def fingerprints(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """(texts, WORDS) fingerprints of window hashes; every text must have a window.
-
-    One hash puts each window into one bin. Bins that stay empty are filled by the next hash,
-    and so on; a text of few windows takes more rounds. So each bit is equal in two texts
-    with the probability that a min-hash would give it, at the cost of a few hashes only.
-    """
-    out = np.zeros(len(n) * BITS, np.uint8)
-    full = np.zeros(len(n) * BITS, bool)
-    rounds = np.clip(-(-6 * BITS // np.maximum(n, 1)), 1, 30)
-    owner = np.repeat(np.arange(len(n), dtype=np.int64) * BITS, n)
-    for r in range(int(rounds.max(initial=0))):
-        if r and (rounds <= r).any():
-            keep = np.repeat(rounds > r, n)
-            h, owner, n, rounds = h[keep], owner[keep], n[rounds > r], rounds[rounds > r]
-        v = h * U(0x9E3779B97F4A7C15 + 2 * r * 0x51ED270B)
-        v ^= v >> U(29)
-        v *= U(0xBF58476D1CE4E5B9)
-        slot = owner + (((v >> U(40)) * U(BITS)) >> U(24)).astype(np.int64)
-        least = np.full(len(out), 0xFFFFFFFF, np.uint32)
-        np.minimum.at(least, slot, (v >> U(8)).astype(np.uint32))
-        new = ~full & (least != 0xFFFFFFFF)
-        # The bit must not follow from the value being small.
-        out[new] = ((least[new].astype(U) * U(0x94D049BB133111EB)) >> U(63)).astype(np.uint8)
-        full |= new
-    return np.packbits(out.reshape(-1, BITS), axis=1, bitorder="little").view(U)
-
-
-def band_keys(h: np.ndarray, n: np.ndarray, bands: int) -> np.ndarray:
-    """(texts, bands) keys of two min-hashes each; every text must have a window."""
+def min_hashes(h: np.ndarray, n: np.ndarray, count: int) -> np.ndarray:
+    """(texts, count) min-hashes of window hashes; every text must have a window."""
     base = (h >> U(32)).astype(np.uint32)
-    out = np.empty((len(n), bands), U)
-    seeds = mix(np.arange(5 * bands, dtype=U) + U(1000))
+    out = np.empty((len(n), count), np.uint32)
+    turn, factor = (mix(np.arange(count, dtype=U) + U(s)).astype(np.uint32) for s in (1000, 2_000_000))
+    factor |= np.uint32(1)
     edges = np.concatenate([[0], np.cumsum(n)])
     begin = 0
     while begin < len(n):  # as many texts at a time as stay in the processor's cache
         end = max(begin + 1, int(np.searchsorted(edges, edges[begin] + 30_000, "right")) - 1)
         part, starts = base[edges[begin] : edges[end]], edges[begin:end] - edges[begin]
-        least = []
-        for i in range(2 * bands):
-            v = part ^ np.uint32(int(seeds[2 * i]) & 0xFFFFFFFF)
-            v *= np.uint32((int(seeds[2 * i + 1]) & 0xFFFFFFFF) | 1)
-            v ^= v >> np.uint32(15)
-            v *= np.uint32(0x2C1B3C6D)
-            least.append(np.minimum.reduceat(v, starts).astype(U))
-        for j in range(bands):
-            out[begin:end, j] = mix((least[2 * j] << U(32) | least[2 * j + 1]) + seeds[4 * bands + j])
+        v = np.empty_like(part)
+        for i in range(count):
+            np.bitwise_xor(part, turn[i], out=v)
+            np.multiply(v, factor[i], out=v)
+            out[begin:end, i] = np.minimum.reduceat(v, starts)
         begin = end
     return out
 
 
+def fingerprints(least: np.ndarray) -> np.ndarray:
+    """(texts, words) fingerprints: a bit for each min-hash, 64 to a word."""
+    bits = ((least * np.uint32(0x9E3779B1)) >> np.uint32(17)).astype(np.uint8) & np.uint8(1)
+    return np.packbits(bits, axis=1, bitorder="little").view(U)
+
+
+def band_keys(least: np.ndarray, bands: int) -> np.ndarray:
+    """(texts, bands) keys of two min-hashes each."""
+    two = least[:, : 2 * bands].astype(U)
+    return mix((two[:, ::2] << U(32) | two[:, 1::2]) + mix(np.arange(bands, dtype=U) + U(31)))
+
+
 # --- bit-sliced comparison ------------------------------------------------------------
 
 
@@ -268,7 +249,7 @@ def hot_slots(texts: DataFrame, width: int) -> np.ndarray:
 
     def run(batches):
         count, docs = np.zeros(SLOTS, np.int32), 0
-        for b in pieces(batches, 0, 2_000_000):
+        for b in pieces(batches, 0):
             h, n = window_hashes(*letters(b.column(0)), width)
             count += np.bincount((h >> U(20)).astype(np.int64) & (SLOTS - 1), minlength=SLOTS).astype(np.int32)
             docs += len(n)
@@ -277,10 +258,10 @@ def hot_slots(texts: DataFrame, width: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(count[at], docs).astype(np.int64))], names=["slot", "n"])
 
     rows = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    total = F.broadcast(rows.where("slot = -1").select(F.col("n").alias("docs")))  # one row
-    hot = rows.where("slot >= 0").join(total).where((F.col("n") >= 0.02 * F.col("docs")) & (F.col("n") >= 50)).select("slot").toArrow()
+    t = rows.where("slot = -1 OR n >= 50").toArrow()  # at most a row a slot
+    slot, n = t.column(0).to_numpy(), t.column(1).to_numpy()
     out = np.zeros(SLOTS, bool)
-    out[hot.column(0).to_numpy()] = True
+    out[slot[(slot >= 0) & (n >= 0.02 * n[slot == -1].sum())]] = True
     return out
 
 
@@ -295,20 +276,23 @@ def _band_rows(texts: DataFrame, width: int, bands: int, most_hot: float = 0.15)
 
     def run(batches):
         seen, hot = Seen(), np.unpackbits(sent.value).astype(bool)
-        for b in pieces(batches, 1, 2_000_000):
+        for b in pieces(batches, 1, 250_000):
             b = b.take(pa.array(seen.fresh(b.column(0).to_pylist()), pa.int64()))
             if not b.num_rows:
                 continue
             h, n = window_hashes(*letters(b.column(1)), width)
-            fp = fingerprints(h, n)
+            whole = min_hashes(h, n, BITS)
+            fp = fingerprints(whole)
             owner = np.repeat(np.arange(len(n)), n)
             is_hot = hot[(h >> U(20)).astype(np.int64) & (SLOTS - 1)]
             n_cold = np.bincount(owner[~is_hot], minlength=len(n))
             cold, dense = np.nonzero(n_cold)[0], np.nonzero(n - n_cold > most_hot * n)[0]
-            in_dense = np.isin(owner, dense)
-            for who, part, size in ((cold, h[~is_hot], n_cold[cold]), (dense, h[in_dense], n[dense])):
+            least = whole[cold].copy()
+            some = np.nonzero((n_cold < n)[cold])[0]  # only texts with hot windows are hashed anew
+            if len(some):
+                least[some, : 2 * bands] = min_hashes(h[~is_hot & np.isin(owner, cold[some])], n_cold[cold[some]], 2 * bands)
+            for who, keys in ((cold, band_keys(least, bands)), (dense, band_keys(whole[dense], bands))):
                 if len(who):
-                    keys = band_keys(part, size, bands)
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), *_fp_arrays(np.repeat(fp[who], bands, axis=0))], names=["key", *_FP])
 
     return texts.select("digest", "text").mapInArrow(run, T.StructType([T.StructField("key", _LONG), *_fp_fields("f")]))
@@ -394,16 +378,17 @@ def _compare_blocks(blocks: DataFrame, radius: int) -> DataFrame:
 
 
 def _fingerprinted(texts: DataFrame, width: int) -> DataFrame:
-    """(fingerprint, digest, text); copies met by the same task go once."""
+    """(first word of the fingerprint, digest, text); copies met by the same task go once."""
 
     def run(batches):
         seen = Seen()
-        for b in pieces(batches, 1, 2_000_000):
+        for b in pieces(batches, 1, 250_000):
             b = b.take(pa.array(seen.fresh(b.column(0).to_pylist()), pa.int64()))
             if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*_fp_arrays(fingerprints(*window_hashes(*letters(b.column(1)), width))), b.column(0), b.column(1)], names=[*_FP, "digest", "text"])
+                fp = fingerprints(min_hashes(*window_hashes(*letters(b.column(1)), width), 64))
+                yield pa.RecordBatch.from_arrays([pa.array(fp[:, 0].view(np.int64)), b.column(0), b.column(1)], names=["f", "digest", "text"])
 
-    return texts.select("digest", "text").mapInArrow(run, T.StructType([*_fp_fields("f"), T.StructField("digest", T.BinaryType()), T.StructField("text", T.StringType())]))
+    return texts.select("digest", "text").mapInArrow(run, T.StructType([T.StructField("f", _LONG), T.StructField("digest", T.BinaryType()), T.StructField("text", T.StringType())]))
 
 
 def _similar(pairs: DataFrame, width: int, least: float) -> DataFrame:
@@ -446,15 +431,15 @@ def class_links(df: DataFrame, id_col: str, text_col: str, width: int = 5, least
     radius = int(mean + 4 * (mean * (1 - mean / BITS)) ** 0.5)
     texts = _texts(df, id_col, text_col, width)
     found = cut(_compare(_band_rows(texts, width, bands), radius, block))
-    ab = [f"a{i}" for i in range(WORDS)] + [f"b{i}" for i in range(WORDS)]
-    pairs = found.where("kind = 0").select(*ab).unionByName(_compare_blocks(found.where("kind = 1"), radius)).distinct()
-    # Fingerprints stand for the texts that have them; texts that share one come out with it.
-    need = pairs.select(*[F.col(f"a{i}").alias(f"f{i}") for i in range(WORDS)]).unionByName(pairs.select(*[F.col(f"b{i}").alias(f"f{i}") for i in range(WORDS)])).distinct()
-    kept = _fingerprinted(texts, width).join(need, _FP, "left_semi").dropDuplicates(["digest"])
-    kept = cut(kept)
-    a = kept.select(*[F.col(f"f{i}").alias(f"a{i}") for i in range(WORDS)], F.col("digest").alias("digest_a"), F.col("text").alias("text_a"))
-    b = kept.select(*[F.col(f"f{i}").alias(f"b{i}") for i in range(WORDS)], F.col("digest").alias("digest_b"), F.col("text").alias("text_b"))
-    with_text = pairs.join(a, [f"a{i}" for i in range(WORDS)]).join(b, [f"b{i}" for i in range(WORDS)]).where(F.col("digest_a") != F.col("digest_b"))
+    pairs = found.where("kind = 0").select("a0", "b0").unionByName(_compare_blocks(found.where("kind = 1"), radius).select("a0", "b0"))
+    pairs = pairs.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")).distinct()
+    # The first word of a fingerprint stands for the texts that have it; texts that share one
+    # come out together and are told apart by the exact comparison.
+    need = pairs.select(F.col("a").alias("f")).unionByName(pairs.select(F.col("b").alias("f"))).distinct()
+    kept = cut(_fingerprinted(texts, width).join(need, "f", "left_semi").dropDuplicates(["digest"]))
+    a = kept.select(F.col("f").alias("a"), F.col("digest").alias("digest_a"), F.col("text").alias("text_a"))
+    b = kept.select(F.col("f").alias("b"), F.col("digest").alias("digest_b"), F.col("text").alias("text_b"))
+    with_text = pairs.join(a, "a").join(b, "b").where(F.col("digest_a") != F.col("digest_b"))
     s = _similar(with_text, width, least)
     low, high = F.least("digest_a", "digest_b"), F.greatest("digest_a", "digest_b")
     return s.select(low.alias("digest_a"), high.alias("digest_b"), "similarity").dropDuplicates(["digest_a", "digest_b"])
@@ -473,7 +458,7 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, width: int =
     gives no pairs.
     """
     links = cut(class_links(df, id_col, text_col, width, least, bands))
-    m = members(df, id_col, text_col, width)
+    m = cut(members(df, id_col, text_col, width))  # met four times below; texts are read once for it
     ma, mb = m.select(F.col("digest").alias("digest_a"), F.col("id").alias("x")), m.select(F.col("digest").alias("digest_b"), F.col("id").alias("y"))
     across = links.select("digest_a", "digest_b").join(ma, "digest_a").join(mb, "digest_b").select("x", "y")
     # Records of one and the same text; only texts with several records reach the self-join.
