@@ -206,7 +206,8 @@ def undo_swap(word: str, written: str, read: str) -> str | None:
 
 def proposals(word: str, letters: Letters, depth: int = 3) -> list[tuple[str, str]]:
     """(restored, kind) for a word: ``utf8`` where its bytes are valid UTF-8 under some codec,
-    ``swap`` where another codec makes a likelier word. Damage done twice is undone twice."""
+    ``swap`` where another codec makes a likelier word, ``sure`` where it makes one that is
+    likelier beyond doubt (e^20 times). Damage done twice is undone twice."""
     own = letters.score(word)
     out: dict[str, str] = {}
     level, done = [word], {word}
@@ -228,8 +229,8 @@ def proposals(word: str, letters: Letters, depth: int = 3) -> list[tuple[str, st
     if not out and len(word) >= 4:
         for written, read in SWAPPED:
             c = undo_swap(word, written, read)
-            if c and c != word and c not in out and all(letters.known(x) for x in c if x > "\x7f") and letters.score(c) > own + 4:
-                out[c] = "swap"
+            if c and c != word and c not in out and all(letters.known(x) for x in c if x > "\x7f") and (gain := letters.score(c) - own) > 4:
+                out[c] = "sure" if gain > 20 else "swap"
     return sorted(out.items(), key=lambda x: -letters.score(x[0]))[:4]
 
 
@@ -311,9 +312,10 @@ def damaged_words(docs: DataFrame, text_col: str) -> DataFrame:
     model = _Model(docs.sparkSession.sparkContext, letter_pairs(counts))
     asked = cut(_proposed(counts, model)).join(counts.select(F.col("word").alias("restored"), F.col("n").alias("n_new")), "restored", "left")
     new, raw = F.coalesce("n_new", F.lit(0)), F.col("n_raw")
-    # Bytes that are valid UTF-8 and make likelier letters prove enough, and word counts pick
-    # among such readings. A mere swap of codecs needs the restored word to be well known.
-    ok = (F.col("kind") == "utf8") | ((new >= 3) & (new >= 5 * raw))
+    # Bytes that are valid UTF-8 and make likelier letters prove enough, and word counts
+    # pick among such readings. A mere swap of codecs needs the restored word to be well known,
+    # or to be likelier by far.
+    ok = F.col("kind").isin("utf8", "sure") | ((new >= 3) & (new >= 3 * raw))
     best = asked.where(ok).groupBy("word").agg(F.max_by("restored", F.struct(new, -F.length("restored"), F.col("restored"))).alias("restored"))
     # A lost character: the commonest word of the corpus that fits around it.
     whole = counts.where(~F.col("word").contains(LOST)).select(F.col("word").alias("fit"), "n", F.regexp_replace("word", r"[^\x00-\x7f]", LOST).alias("hull"))

@@ -11,7 +11,7 @@
 3. Pairs within the radius are compared exactly on their window sets.
 
 No bucket, partner or candidate is capped. A pair at similarity s shares a band with
-probability 1 - (1 - s^2)^bands; with 18 bands that is 0.994 at 0.5, 0.9997 at 0.6.
+probability 1 - (1 - s^2)^bands; with 24 bands that is 0.999 at 0.5, 0.99998 at 0.6.
 """
 
 from __future__ import annotations
@@ -419,7 +419,7 @@ def _similar(pairs: DataFrame, width: int, least: float) -> DataFrame:
     return pairs.select("digest_a", "text_a", "digest_b", "text_b").mapInArrow(run, "digest_a binary, digest_b binary, similarity double")
 
 
-def class_links(df: DataFrame, id_col: str, text_col: str, width: int = 5, least: float = 0.5, bands: int = 18, block: int = 8_192) -> DataFrame:
+def class_links(df: DataFrame, id_col: str, text_col: str, width: int = 5, least: float = 0.5, bands: int = 24, block: int = 8_192) -> DataFrame:
     """Links between different texts, once each: digest_a < digest_b, similarity.
 
     The similarity of two texts is the number of their common distinct windows of ``width``
@@ -450,7 +450,7 @@ def members(df: DataFrame, id_col: str, text_col: str, width: int = 5) -> DataFr
     return _texts(df, id_col, text_col, width).select("digest", "id").distinct()
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, width: int = 5, least: float = 0.5, bands: int = 18) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, width: int = 5, least: float = 0.5, bands: int = 24) -> DataFrame:
     """All pairs of ids, a < b, whose texts are at least ``least`` similar, copies expanded.
 
     Null ids, and null, empty and shorter texts than a window, are in no pair; repeated rows
@@ -469,7 +469,7 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, width: int =
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, width: int = 5, least: float = 0.5, bands: int = 18) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, width: int = 5, least: float = 0.5, bands: int = 24) -> DataFrame:
     """One row per record with a window: id, class_id (the least id of records with the same
     text), group_id (the least class_id linked to it, directly or through others), links
     (texts linked directly to its own)."""
