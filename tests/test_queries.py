@@ -2,10 +2,10 @@
 
 import pytest
 
-from lociq.plans import fetch_queries, gene_queries, record_queries
+from lociq.plans import fetch_queries, gene_queries, output_queries, record_queries
 from tests.oracle import check
 
-PLANS = [gene_queries, fetch_queries, record_queries]
+PLANS = [gene_queries, fetch_queries, output_queries, record_queries]
 NAMES = [(p, n) for p in PLANS for n in p.QUERIES]
 
 
