@@ -301,7 +301,10 @@ def _proposed(counts: DataFrame, model: _Model) -> DataFrame:
             w, c, k, n = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(c, pa.string()), pa.array(k, pa.string()), pa.array(n, pa.int64())], names=["word", "restored", "kind", "n_raw"])
 
-    spread = counts.hint("rebalance").repartition(F.col("word"))
+    # A fixed number of tasks: the search costs far more time than its bytes tell the planner.
+    spark = counts.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spread = counts.repartition(tasks, "word")
     return spread.select("word", "n").mapInArrow(run, "word string, restored string, kind string, n_raw long")
 
 
