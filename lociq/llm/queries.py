@@ -111,6 +111,15 @@ pair AS (
 
 ORACLE = {
     "p2_found": _PAIRS2 + "SELECT a AS protein_a, b AS protein_b FROM pair",
+    "p2_groups": _PAIRS2.replace("WITH", "WITH RECURSIVE", 1) + """,
+cls AS (SELECT s, min(proteinID) AS class_id FROM seq WHERE length(s) >= 5 GROUP BY s),
+own AS (SELECT proteinID, class_id FROM seq JOIN cls USING (s)),
+link AS (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM pair JOIN own x ON x.proteinID = a JOIN own y ON y.proteinID = b WHERE x.class_id <> y.class_id),
+side AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a, b FROM side UNION SELECT r.a, s.b FROM reach r JOIN side s ON s.a = r.b),
+root AS (SELECT a, least(a, min(b)) AS group_id FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS links FROM side GROUP BY a)
+SELECT proteinID, class_id, coalesce(group_id, class_id) AS group_id, coalesce(links, 0) AS links FROM own LEFT JOIN root ON root.a = class_id LEFT JOIN degree ON degree.a = class_id""",
     "p3_found": _SHARED3 + "SELECT proteinID, span_start, span_end FROM span",
     "p3_shared_share": _SHARED3 + """
 SELECT proteinID, max(length(s)) AS letters, CAST(coalesce(any_value(shared), 0) AS BIGINT) AS shared, round(CASE WHEN max(length(s)) > 0 THEN coalesce(any_value(shared), 0) / max(length(s)) ELSE 0.0 END, 6) AS share
