@@ -19,14 +19,19 @@ def gap_blocks(genes: DataFrame, distance: int = 3500, drop_trailing: bool = Fal
     Windows run over a contig, never a whole genome; block numbers come from the block counts
     of the contigs, one small row each.
     """
+    # One sort serves all: a gene is in a block if it joins its predecessor or its successor
+    # joins it, and a block begins where only the latter holds.
     w = Window.partitionBy("genomeID", "contig").orderBy(*ORDER)
-    step = F.when(F.col("start") - F.lag("end").over(w) <= distance, 0).otherwise(1)
-    run = genes.withColumn("brk", step).withColumn("island", F.sum("brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    sized = run.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("genomeID", "contig", "island")))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    run = genes.withColumn("joins", F.coalesce(F.col("start") - F.lag("end").over(w) <= distance, F.lit(False)))
+    run = run.withColumn("joined", F.coalesce(F.lead("joins").over(w), F.lit(False)))
+    run = run.withColumn("nth", F.sum((~F.col("joins") & F.col("joined")).cast("int")).over(upto))
+    kept = run.where(F.col("joins") | F.col("joined"))
     if drop_trailing:
-        last = run.groupBy("genomeID").agg(F.max(F.struct("contig", "island")).alias("last"))
-        sized = sized.join(last, "genomeID").where(F.struct("contig", "island") != F.col("last")).drop("last")
-    kept = sized.where("members > 1").withColumn("nth", F.dense_rank().over(Window.partitionBy("genomeID", "contig").orderBy("island")))
+        # The last run of a genome is the one that holds its last gene.
+        last = run.groupBy("genomeID").agg(F.max(F.struct("contig", *ORDER, "joins", "nth")).alias("l"))
+        last = last.where("l.joins").select("genomeID", F.col("l.contig").alias("contig"), F.col("l.nth").alias("nth"))
+        kept = kept.join(last, ["genomeID", "contig", "nth"], "left_anti")
     per = kept.groupBy("genomeID", "contig").agg(F.max("nth").alias("blocks"))
     before = F.coalesce(F.sum("blocks").over(Window.partitionBy("genomeID").orderBy("contig").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per = per.select("genomeID", "contig", before.alias("offset"))
