@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociq.functions import render
-from lociq.operators import blocks, overlap, patterns
+from lociq.operators import blocks, filters, overlap, patterns, sequences
 from lociq.sources import readers
 
 
-def build(spark: SparkSession, reports: str, features: str, proteins: str, thresholds: str, dictionary: str, cutoff: str = "optimized", distance: int = 3500, least: float = 0.5, complete: bool = True) -> dict[str, DataFrame]:
+def build(spark: SparkSession, reports: str, features: str, proteins: str, thresholds: str, dictionary: str, cutoff: str = "optimized", distance: int = 3500, least: float = 0.5, complete: bool = True, most_evalue: float | None = None) -> dict[str, DataFrame]:
     """Tables proteins, domains, clusters and keywords out of search reports, gene coordinates
     and sequences in three folders, a file a genome in each.
 
     Hits above the cutoff are resolved per protein, proteins are placed by their features,
     blocks are found and named; with ``complete``, hits below the cutoff that a named block
-    lacks join it, and names are given again.
+    lacks join it, and names are given again. ``most_evalue`` leaves out weaker hits of reports
+    that weren't made with such a limit.
     """
     hits = readers.hmmer_report(spark, reports).withColumn("genomeID", render.genome_of("file"))
+    hits = hits if most_evalue is None else readers.significant(hits, most_evalue)
     best = overlap.best_report(hits, ["genomeID", "report_ord", "query", "hit_ord", "hit_id", "hit_score"], "hsp_score", "hsp_ord")
     cuts = readers.threshold_table(spark, thresholds).select("hmm", F.col(cutoff).alias("cutoff"))
     raw = best.select(
@@ -51,3 +53,23 @@ def _name(spark: SparkSession, hits: DataFrame, place: DataFrame, dictionary: st
     tokens = patterns.token_rows(members, folded.select("proteinID", render.token(render.architecture("domains")).alias("token")), "block")
     names = patterns.named(patterns.pattern_matches(tokens, readers.pattern_table(spark, dictionary), "block", least), "block")
     return {"folded": folded, "members": members, "tokens": tokens, "names": names}
+
+
+def sequence_set(spark: SparkSession, action: str, files: list[str], limits: tuple[int, int] = (0, 1 << 31)) -> tuple[list[str], DataFrame]:
+    """(header columns, records) of an action on sequence files, in the order given: ``merge``
+    (first record of an id), ``filter`` (length strictly between the limits), ``singletons`` and
+    ``duplicates`` (one or several records of a genome in a file), ``concat`` and ``concat-gaps``
+    (the records of a genome over all files joined)."""
+    known = None
+    for i, f in enumerate(files):
+        r = readers.fasta(spark, f).withColumn("file", F.lit(str(i))).withColumn("genome", F.substring_index("id", "-", 1))
+        known = r if known is None else known.unionByName(r)
+    if action == "merge":
+        return ["description"], sequences.merge_first(known, [F.col("file").cast("int"), "ord"])
+    if action == "filter":
+        return ["description"], known.where(filters.length_between("seq", *limits))
+    if action in ("singletons", "duplicates"):
+        n = sequences.split_members(known, ["file", "genome"])
+        return ["description"], n.where("members = 1" if action == "singletons" else "members > 1")
+    joined = sequences.concatenated(known, [str(i) for i in range(len(files))], gaps=action == "concat-gaps")
+    return ["genome"], joined.withColumnRenamed("sequence", "seq")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge_first(records: DataFrame, order: Sequence[str], key: str = "id") -> DataFrame:
+def merge_first(records: DataFrame, order: Sequence[Column | str], key: str = "id") -> DataFrame:
     """One record per id: the first by file and place."""
     rest = [c for c in records.columns if c != key]
     return records.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("x")).select(key, *[F.col(f"x.{c}").alias(c) for c in rest])
@@ -25,11 +25,12 @@ def concatenated(records: DataFrame, files: Sequence[str], gaps: bool = False) -
     files. Without gaps only genomes found in all files; with gaps a missing file is filled
     with ``-`` of that file's greatest length."""
     order = F.expr("map(" + ", ".join(f"'{f}', {i}" for i, f in enumerate(files)) + ")")
-    rows = records.where(F.col("file").isin(list(files))).groupBy("genome", "file").agg(F.min("seq").alias("seq"))
+    records = records.where(F.col("file").isin(list(files)))
+    rows = records.groupBy("genome", "file").agg(F.min("seq").alias("seq"))
     if not gaps:
         whole = rows.groupBy("genome").agg(F.array_sort(F.collect_list(F.struct(order[F.col("file")].alias("o"), "seq"))).alias("parts"))
         return whole.where(F.size("parts") == len(files)).select("genome", F.array_join(F.transform("parts", lambda x: x["seq"]), "").alias("sequence"))
-    width = rows.groupBy("file").agg(F.max(F.length("seq")).alias("width"))  # a row a file
+    width = records.groupBy("file").agg(F.max(F.length("seq")).alias("width"))  # a row a file
     slots = rows.select("genome").distinct().join(F.broadcast(width))
     filled = slots.join(rows, ["genome", "file"], "left").select("genome", order[F.col("file")].alias("o"), F.coalesce("seq", F.repeat(F.lit("-"), F.col("width"))).alias("seq"))
     return filled.groupBy("genome").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "seq"))), lambda x: x["seq"]), "").alias("sequence"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociq.functions import render
-from lociq.ingest import build
+from lociq.ingest import build, sequence_set
 from lociq.operators import filters, matrix, sequences, store
 from lociq.sources import readers, sinks
 from lociq.streaming import ingest
@@ -227,3 +227,16 @@ def test_stream_stores_each_genome_once(spark, tmp_path):
     assert rows(ingest.stored(spark, str(tmp_path / "out")), "proteinID") == [("a-p",), ("b-p",), ("c-p",)]
     t = spark.sql("SELECT timestamp_ntz'2024-01-05 00:00:00' AS loaded_at")
     assert ingest.arrivals(t).first().n == 1
+
+
+def test_sequence_files(spark, tmp_path):
+    (tmp_path / "a.faa").write_text(">g-1 x\nAA\n>g-2\nCCCC\n>h-1\nDD\n")
+    (tmp_path / "b.faa").write_text(">g-1 y\nEE\n>k-1\nFFF\n>h-2\nHH\n")
+    files = [str(tmp_path / "a.faa"), str(tmp_path / "b.faa")]
+    run = lambda action, **kw: sequence_set(spark, action, files, **kw)[1]
+    assert rows(run("merge"), "id", "seq") == [("g-1", "AA"), ("g-2", "CCCC"), ("h-1", "DD"), ("h-2", "HH"), ("k-1", "FFF")]
+    assert rows(run("filter", limits=(2, 4)), "id") == [("k-1",)]
+    assert rows(run("singletons"), "id") == [("g-1",), ("h-1",), ("h-2",), ("k-1",)]
+    assert rows(run("duplicates"), "id") == [("g-1",), ("g-2",)]
+    assert rows(run("concat"), "genome", "seq") == [("g", "AAEE"), ("h", "DDHH")]
+    assert rows(run("concat-gaps"), "genome", "seq") == [("g", "AAEE"), ("h", "DDHH"), ("k", "----FFF")]
