@@ -170,3 +170,12 @@ def test_windows():
     x = np.arange(50)[::-1] % 7
     for w in (1, 2, 5, 29):
         assert sliding_min(x, w).tolist() == [min(x[i : i + w]) for i in range(50 - w + 1)]
+
+
+def test_long_texts_are_taken_whole(spark):
+    r = random.Random(9)
+    long = "".join(r.choice(LETTERS) for _ in range(60_000))
+    rows = [("a", long), ("b", long[30_000:] + long[:30_000]), ("c", long[59_900:] + "".join(r.choice(LETTERS) for _ in range(500)))]
+    assert {tuple(x) for x in nd.near_duplicate_pairs(frame(spark, rows), "id", "seq").collect()} == {("a", "b")}
+    got = {tuple(x) for x in ss.shared_runs(frame(spark, rows), "id", "seq").collect()}
+    assert got == {("a", 1, 60_000), ("b", 1, 60_000), ("c", 1, 100)} | {x for x in brute_runs(rows) if x[0] == "c"}
