@@ -11,7 +11,7 @@
 3. Pairs within the radius are compared exactly on their window sets.
 
 No bucket, partner or candidate is capped. A pair at similarity s shares a band with
-probability 1 - (1 - s^2)^bands; with 24 bands that is 0.999 at 0.5, 0.99998 at 0.6.
+probability 1 - (1 - s^2)^bands; with 20 bands that is 0.997 at 0.5, 0.9999 at 0.6.
 """
 
 from __future__ import annotations
@@ -239,8 +239,8 @@ def _texts(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), F.unhex(F.md5(t)).alias("digest"), t.alias("text"))
 
 
-def hot_slots(texts: DataFrame, width: int) -> np.ndarray:
-    """Windows that stand in at least 2 % of all texts (and 50 texts), as a table of hashed
+def hot_slots(texts: DataFrame, width: int) -> tuple[np.ndarray, int]:
+    """(hot windows, number of texts). Hot are windows that stand in at least 2 % of all texts (and 50 texts), as a table of hashed
     slots of a fixed size. They make unlike texts meet, so band keys are taken without them.
 
     Each task counts all of its texts' windows and reports slots that make up 1 % of them; at
@@ -261,18 +261,19 @@ def hot_slots(texts: DataFrame, width: int) -> np.ndarray:
     t = rows.where("slot = -1 OR n >= 50").toArrow()  # at most a row a slot
     slot, n = t.column(0).to_numpy(), t.column(1).to_numpy()
     out = np.zeros(SLOTS, bool)
-    out[slot[(slot >= 0) & (n >= 0.02 * n[slot == -1].sum())]] = True
-    return out
+    docs = int(n[slot == -1].sum())
+    out[slot[(slot >= 0) & (n >= 0.02 * docs)]] = True
+    return out, docs
 
 
-def _band_rows(texts: DataFrame, width: int, bands: int, most_hot: float = 0.15) -> DataFrame:
+def _band_rows(texts: DataFrame, width: int, bands: int, hot_table: np.ndarray, most_hot: float = 0.15) -> DataFrame:
     """(key, fingerprint): ``bands`` rows a text. Copies met by the same task go once.
 
     Keys leave hot windows out. A text of which more than ``most_hot`` is hot gets keys of all
     its windows besides. Of a similar pair either both texts do and meet there, or the hot part
     of one is small, and what they share of the rest is nearly the whole share.
     """
-    sent = texts.sparkSession.sparkContext.broadcast(np.packbits(hot_slots(texts, width)))
+    sent = texts.sparkSession.sparkContext.broadcast(np.packbits(hot_table))
 
     def run(batches):
         seen, hot = Seen(), np.unpackbits(sent.value).astype(bool)
@@ -298,10 +299,10 @@ def _band_rows(texts: DataFrame, width: int, bands: int, most_hot: float = 0.15)
     return texts.select("digest", "text").mapInArrow(run, T.StructType([T.StructField("key", _LONG), *_fp_fields("f")]))
 
 
-def _compare(rows: DataFrame, radius: int, block: int) -> DataFrame:
+def _compare(rows: DataFrame, radius: int, block: int, tasks: int) -> DataFrame:
     """Fingerprint pairs of all buckets: kind 0 are pairs within the radius (a*, b*); kind 1
     are blocks of a bucket that is too large for one task (key, no, fps)."""
-    sorted_rows = rows.repartition("key").sortWithinPartitions("key", *_FP)
+    sorted_rows = rows.repartition(tasks, "key").sortWithinPartitions("key", *_FP)
     names = ["kind", *[f"a{i}" for i in range(WORDS)], *[f"b{i}" for i in range(WORDS)], "key", "no", "fps"]
 
     def pairs(key, fp):
@@ -419,7 +420,7 @@ def _similar(pairs: DataFrame, width: int, least: float) -> DataFrame:
     return pairs.select("digest_a", "text_a", "digest_b", "text_b").mapInArrow(run, "digest_a binary, digest_b binary, similarity double")
 
 
-def class_links(df: DataFrame, id_col: str, text_col: str, width: int = 5, least: float = 0.5, bands: int = 24, block: int = 8_192) -> DataFrame:
+def class_links(df: DataFrame, id_col: str, text_col: str, width: int = 5, least: float = 0.5, bands: int = 20, block: int = 8_192) -> DataFrame:
     """Links between different texts, once each: digest_a < digest_b, similarity.
 
     The similarity of two texts is the number of their common distinct windows of ``width``
@@ -430,7 +431,10 @@ def class_links(df: DataFrame, id_col: str, text_col: str, width: int = 5, least
     mean = BITS * (1 - least) / 2
     radius = int(mean + 4 * (mean * (1 - mean / BITS)) ** 0.5)
     texts = _texts(df, id_col, text_col, width)
-    found = cut(_compare(_band_rows(texts, width, bands), radius, block))
+    hot, n_texts = hot_slots(texts, width)
+    # About 16 MB of band rows a task, however many texts there are.
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_texts * bands * 8 * (1 + WORDS) // 16_000_000))
+    found = cut(_compare(_band_rows(texts, width, bands, hot), radius, block, tasks))
     pairs = found.where("kind = 0").select("a0", "b0").unionByName(_compare_blocks(found.where("kind = 1"), radius).select("a0", "b0"))
     pairs = pairs.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")).distinct()
     # The first word of a fingerprint stands for the texts that have it; texts that share one
@@ -450,7 +454,7 @@ def members(df: DataFrame, id_col: str, text_col: str, width: int = 5) -> DataFr
     return _texts(df, id_col, text_col, width).select("digest", "id").distinct()
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, width: int = 5, least: float = 0.5, bands: int = 24) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, width: int = 5, least: float = 0.5, bands: int = 20) -> DataFrame:
     """All pairs of ids, a < b, whose texts are at least ``least`` similar, copies expanded.
 
     Null ids, and null, empty and shorter texts than a window, are in no pair; repeated rows
@@ -469,7 +473,7 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, width: int =
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, width: int = 5, least: float = 0.5, bands: int = 24) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, width: int = 5, least: float = 0.5, bands: int = 20) -> DataFrame:
     """One row per record with a window: id, class_id (the least id of records with the same
     text), group_id (the least class_id linked to it, directly or through others), links
     (texts linked directly to its own)."""
