@@ -356,8 +356,8 @@ def garbled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     are searched, however long; other columns are ignored; an empty table gives no rows.
     """
     bad = damaged_words(docs, text_col).select("word")
-    w = document_words(docs, id_col, text_col)
-    return w.join(bad, "word", "left_semi").select("id").unionByName(w.where(F.col("word") == LOST).select("id")).distinct()
+    bad = bad.unionByName(docs.sparkSession.range(1).select(F.lit(LOST).alias("word")))
+    return document_words(docs, id_col, text_col).join(bad, "word", "left_semi").select("id").distinct()
 
 
 def restored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
