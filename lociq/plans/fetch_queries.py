@@ -136,7 +136,7 @@ def jn15_taxonomy_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 def _marker_records(spark: SparkSession, d: str) -> DataFrame:
     rows = _genes_with_domains(spark, d).where(F.col("domain").isin(list(MARKERS)) & F.col("sequence").isNotNull())
-    return rows.select(F.col("domain").alias("file"), F.col("genomeID").alias("genome"), F.col("proteinID").alias("id"), F.substring("sequence", 1, 30).alias("seq"))
+    return rows.select(F.col("domain").alias("file"), F.col("genomeID").alias("genome"), F.col("proteinID").alias("id"), F.col("sequence").alias("seq"))
 
 
 def jn16_concat_inner(spark: SparkSession, d: str) -> DataFrame:
