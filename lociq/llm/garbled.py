@@ -226,7 +226,7 @@ def proposals(word: str, letters: Letters, depth: int = 3) -> list[tuple[str, st
         level = sorted(further, key=lambda c: (-further[c], c))[:4]
         if not level:
             break
-    if not out and len(word) >= 4:
+    if not out and len(word) > 1:  # a single character has no letters around it that could tell
         for written, read in SWAPPED:
             c = undo_swap(word, written, read)
             if c and c != word and c not in out and all(letters.known(x) for x in c if x > "\x7f") and (gain := letters.score(c) - own) > 4:
