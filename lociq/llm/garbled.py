@@ -4,7 +4,9 @@ Noisy channel. A word that holds characters beyond ASCII may be what somebody wr
 wrong codec made of other bytes. For every channel (written as, read as) the word is turned
 back into a byte lattice, in which a lost byte (``?`` or U+FFFD) is a wildcard, and a Viterbi
 search finds the likeliest characters under the corpus's own letter pairs. What it proposes is
-held against the corpus word frequencies: the restored word has to be the likelier one.
+held against the corpus word frequencies: the restored word has to be the likelier one. For a
+swap of codecs the words of a document speak together, channel by channel; what that explains is
+taken out of the counts, and the words are weighed again.
 
 Corpus statistics are taken over all documents. Word counts stay a distributed table. Only the
 letter pairs are broadcast, as hashed counters of a fixed size.
@@ -16,6 +18,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -204,10 +207,10 @@ def undo_swap(word: str, written: str, read: str) -> str | None:
         return None
 
 
-def proposals(word: str, letters: Letters, depth: int = 3) -> list[tuple[str, str]]:
-    """(restored, kind) for a word: ``utf8`` where its bytes are valid UTF-8 under some codec,
-    ``swap`` where another codec makes a likelier word, ``sure`` where it makes one that is
-    likelier beyond doubt (e^20 times). Damage done twice is undone twice."""
+def proposals(word: str, letters: Letters, depth: int = 3) -> list[tuple[str, str, int, float]]:
+    """(restored, kind, channel, gain) for a word: ``utf8`` where its bytes are valid UTF-8 under
+    some codec; else, for every pair of codecs that makes another word of known letters, ``swap``,
+    or ``sure`` where that is likelier beyond doubt (e^20 times). Damage done twice is undone twice."""
     own = letters.score(word)
     out: dict[str, str] = {}
     level, done = [word], {word}
@@ -226,12 +229,15 @@ def proposals(word: str, letters: Letters, depth: int = 3) -> list[tuple[str, st
         level = sorted(further, key=lambda c: (-further[c], c))[:4]
         if not level:
             break
-    if not out and len(word) > 1:  # a single character has no letters around it that could tell
-        for written, read in SWAPPED:
-            c = undo_swap(word, written, read)
-            if c and c != word and c not in out and all(letters.known(x) for x in c if x > "\x7f") and (gain := letters.score(c) - own) > 4:
-                out[c] = "sure" if gain > 20 else "swap"
-    return sorted(out.items(), key=lambda x: -letters.score(x[0]))[:4]
+    if out:
+        return [(c, kind, -1, letters.score(c) - own) for c, kind in sorted(out.items(), key=lambda x: -letters.score(x[0]))[:4]]
+    swaps = []
+    for k, (written, read) in enumerate(SWAPPED):
+        c = undo_swap(word, written, read)
+        if c and c != word and all(letters.known(x) for x in c if x > "\x7f"):
+            gain = letters.score(c) - own
+            swaps.append((c, "sure" if gain > 20 and len(word) >= 4 else "swap", k, gain))
+    return swaps
 
 
 # --- Spark stages ---------------------------------------------------------------------
@@ -289,62 +295,90 @@ class _Model:
 
 
 def _proposed(counts: DataFrame, model: _Model) -> DataFrame:
-    """(word, restored, kind, n): what each different word of the corpus may have been; each is
-    searched once, wherever and however often it stands."""
+    """(word, restored, kind, channel, gain, n_raw): what each different word of the corpus may
+    have been; each is searched once, wherever and however often it stands."""
 
     def run(batches):
         letters = model.get()
         for b in batches:
             rows = []
             for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows += [(w, c, kind, n) for c, kind in proposals(w, letters)]
-            w, c, k, n = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(c, pa.string()), pa.array(k, pa.string()), pa.array(n, pa.int64())], names=["word", "restored", "kind", "n_raw"])
+                rows += [(w, *x, n) for x in proposals(w, letters)]
+            w, c, k, at, gain, n = zip(*rows, strict=True) if rows else ((), (), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(c, pa.string()), pa.array(k, pa.string()), pa.array(at, pa.int32()), pa.array(gain, pa.float64()), pa.array(n, pa.int64())], names=["word", "restored", "kind", "channel", "gain", "n_raw"])
 
     # A fixed number of tasks: the search costs far more time than its bytes tell the planner.
     spark = counts.sparkSession
     tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     spread = counts.repartition(tasks, "word")
-    return spread.select("word", "n").mapInArrow(run, "word string, restored string, kind string, n_raw long")
+    return spread.select("word", "n").mapInArrow(run, "word string, restored string, kind string, channel int, gain double, n_raw long")
 
 
-def damaged_words(docs: DataFrame, text_col: str) -> DataFrame:
-    """(word, restored): words of the corpus that came from a wrong decoding, and the likeliest
-    original; null where a lost character can't be told."""
+def _channels(rows: DataFrame, swaps: DataFrame, least: float = 3.0, cap: float = 4.0) -> DataFrame:
+    """(doc, channel): the swap of codecs that a document's words speak for together. Each word
+    gives the log of how much commoner its restored form is, against it where it is rarer; two
+    words at least have to speak for the channel, and not single characters alone."""
+    e = F.greatest(F.lit(-cap), F.least(F.lit(cap), F.log((F.greatest("n_new", F.lit(0)) + 0.5) / (F.greatest("n_raw", F.lit(0)) + 0.5))))
+    per = rows.join(swaps.select("word", "channel", e.alias("e")), "word").groupBy("doc", "channel").agg(F.sum("e").alias("e"), F.sum((F.col("e") > 0).cast("int")).alias("k"), F.max((F.col("e") > 0) & (F.length("word") > 1)).alias("long"))
+    return per.where((F.col("e") >= least) & (F.col("k") >= 2) & F.col("long")).groupBy("doc").agg(F.max_by("channel", F.struct("e", -F.col("channel"))).alias("channel"))
+
+
+def damaged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, word, restored): words of documents that came from a wrong decoding, and the
+    likeliest original; null where a lost character can't be told."""
     counts = cut(word_counts(docs, text_col))
     model = _Model(docs.sparkSession.sparkContext, letter_pairs(counts))
-    asked = cut(_proposed(counts, model)).join(counts.select(F.col("word").alias("restored"), F.col("n").alias("n_new")), "restored", "left")
-    new, raw = F.coalesce("n_new", F.lit(0)), F.col("n_raw")
-    # Bytes that are valid UTF-8 and make likelier letters prove enough, and word counts
-    # pick among such readings. A mere swap of codecs needs the restored word to be well known,
-    # or to be likelier by far.
-    ok = F.col("kind").isin("utf8", "sure") | ((new >= 3) & (new >= 3 * raw))
-    best = asked.where(ok).groupBy("word").agg(F.max_by("restored", F.struct(new, -F.length("restored"), F.col("restored"))).alias("restored"))
+    asked = cut(_proposed(counts, model).join(counts.select(F.col("word").alias("restored"), F.col("n").alias("n_new")), "restored", "left").where("n_new >= 3 OR kind <> 'swap'"))
+    w = document_words(docs, id_col, text_col)
+    swaps = asked.where("channel >= 0 AND n_new >= 3")
+    # Only words that some channel turns into a word of the corpus can speak.
+    rows = cut(w.join(swaps.select("word").distinct(), "word", "left_semi").groupBy("id", "doc", "word").agg(F.sum("n").alias("n")))
+    # What the first pass explains goes from the garbled words' counts to the restored ones'.
+    first = rows.join(_channels(rows, swaps), "doc").join(swaps.select("word", "channel", "restored"), ["word", "channel"])
+    moved = cut(first.groupBy("word", "restored").agg(F.sum("n").alias("m")))
+    gone, come = moved.groupBy("word").agg(F.sum("m").alias("gone")), moved.groupBy("restored").agg(F.sum("m").alias("come"))
+    again = swaps.join(gone, "word", "left").join(come, "restored", "left").join(gone.select(F.col("word").alias("restored"), F.col("gone").alias("lost")), "restored", "left")
+    again = again.join(come.select(F.col("restored").alias("word"), F.col("come").alias("won")), "word", "left").join(moved, ["word", "restored"], "left").na.fill(0, ["gone", "come", "lost", "won", "m"])
+    again = cut(again.withColumn("seen", F.col("n_raw")).withColumn("n_raw", F.col("n_raw") - F.col("gone") + F.col("won")).withColumn("n_new", F.col("n_new") + F.col("come") - F.col("lost")))
+    told = rows.join(_channels(rows, again), "doc").join(again.select("word", "channel", "restored"), ["word", "channel"]).select("id", "word", "restored")
+    # Bytes that are valid UTF-8 and make likelier letters prove enough, and word counts pick
+    # among such readings. A swap of codecs that only one word of a document speaks for needs
+    # likelier letters, or documents that explain most of the word, and a far commoner restored
+    # word; a single character has no letters around it that could tell.
+    plain = asked.where("kind <> 'swap'").select("word", "restored", F.coalesce("n_new", F.lit(0)).alias("n_new"))
+    known = (F.length("word") > 1) & (F.col("n_new") >= 3) & (F.col("n_new") >= 3 * F.col("n_raw")) & ((F.col("gain") > 4) | (2 * F.col("m") >= F.col("seen")))
+    best = plain.unionByName(again.where(known).select("word", "restored", "n_new")).groupBy("word").agg(F.max_by("restored", F.struct("n_new", -F.length("restored"), F.col("restored"))).alias("restored"))
     # A lost character: the commonest word of the corpus that fits around it.
     whole = counts.where(~F.col("word").contains(LOST)).select(F.col("word").alias("fit"), "n", F.regexp_replace("word", r"[^\x00-\x7f]", LOST).alias("hull"))
     lost = counts.where(F.col("word").contains(LOST)).select("word", F.regexp_replace("word", r"[^\x00-\x7f]", LOST).alias("hull"))
     # The better half of the join is summed up first, so that a common hull is one row.
     whole = whole.groupBy("hull").agg(F.max_by("fit", F.struct("n", "fit")).alias("fit"))
     found = lost.join(whole, "hull", "left").select("word", F.col("fit").alias("restored"))
-    return cut(best.join(lost.select("word"), "word", "left_anti").unionByName(found))
+    bad = cut(best.join(lost.select("word"), "word", "left_anti").unionByName(found))
+    # A document's own channel goes before what holds for the word everywhere.
+    both = w.join(bad, "word").select("id", "word", "restored", F.lit(0).alias("own")).unionByName(told.withColumn("own", F.lit(1)))
+    return both.groupBy("id", "word").agg(F.max_by("restored", F.struct("own", "restored")).alias("restored"))
 
 
 def document_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, word): the different words beyond ASCII of each document."""
+    """(id, doc, word, n): the different words beyond ASCII of each document and how often they
+    stand there; ``doc`` tells documents of one id, or of none, apart."""
 
     def run(batches):
         for b in batches:
-            at, out = [], []
-            for i, t in enumerate(b.column(1).to_pylist()):
+            at, doc, out, often = [], [], [], []
+            for i, (x, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
                 if t and not t.isascii():
-                    w = dict.fromkeys(words(t))
+                    w = Counter(words(t))
                     if LOST in t:
-                        w[LOST] = None  # also where it stands in no word
+                        w[LOST] += 0  # also where it stands in no word
                     out += w
+                    often += w.values()
                     at += [i] * len(w)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.string())], names=["id", "word"])
+                    doc += [int.from_bytes(blake2b(f"{x!r} {t}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)] * len(w)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(doc, pa.int64()), pa.array(out, pa.string()), pa.array(often, pa.int64())], names=["id", "doc", "word", "n"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("word", T.StringType())])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("doc", T.LongType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
 
@@ -355,9 +389,8 @@ def garbled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Null and empty texts are clean. Repeated ids come out once; a null id is kept. Whole texts
     are searched, however long; other columns are ignored; an empty table gives no rows.
     """
-    bad = damaged_words(docs, text_col).select("word")
-    bad = bad.unionByName(docs.sparkSession.range(1).select(F.lit(LOST).alias("word")))
-    return document_words(docs, id_col, text_col).join(bad, "word", "left_semi").select("id").distinct()
+    lost = docs.where(F.col(text_col).contains(LOST)).select(F.col(id_col).alias("id"))
+    return damaged(docs, id_col, text_col).select("id").unionByName(lost).distinct()
 
 
 def restored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -366,11 +399,9 @@ def restored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Cases as ``garbled``; ids must be unique here, since a text is restored by its id.
     """
-    bad = damaged_words(docs, text_col)
-    w = document_words(docs, id_col, text_col)
-    hit = w.join(bad, "word")
+    hit = cut(damaged(docs, id_col, text_col))
     fixes = hit.where("restored IS NOT NULL").groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("word", "restored"))).alias("fixes"))
-    ids = hit.select("id").unionByName(w.where(F.col("word") == LOST).select("id")).distinct().join(fixes, "id", "left")
+    ids = hit.select("id").unionByName(docs.where(F.col(text_col).contains(LOST)).select(F.col(id_col).alias("id"))).distinct().join(fixes, "id", "left")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id")
 
     def run(batches):
