@@ -10,6 +10,7 @@ it. Only an item above the capacity is cut, into full containers and a rest.
 from __future__ import annotations
 
 import bisect
+import copy
 from collections import Counter, defaultdict
 from collections.abc import Sequence
 
@@ -48,12 +49,19 @@ class Index:
         order = np.argsort(term, kind="stable")
         self.item, self.weight = item[order], weight[order]
         self.start = np.concatenate([[0], np.cumsum(df)])
-        # A seed asks with its most telling terms; the score over them orders the neighbours.
+        # A seed asks with all of its terms that another item has.
         self.terms = []
         for i in range(n):
             own = term[edge[i] : edge[i + 1]]
-            own = own[df[own] > 1]
-            self.terms.append(own[np.lexsort((own, df[own]))[:24]])
+            self.terms.append(np.sort(own[df[own] > 1]))
+
+    def without(self, used: np.ndarray) -> Index:
+        """The index of the unused items: the same scores, in less time."""
+        out = copy.copy(self)
+        keep = used[self.item] == 0
+        out.item, out.weight = self.item[keep], self.weight[keep]
+        out.start = np.concatenate([[0], np.cumsum(keep)])[self.start]
+        return out
 
     def neighbours(self, seed: int, used: np.ndarray) -> list[int]:
         """Unused items that share a term with the seed, best first."""
@@ -106,13 +114,15 @@ def fill(sizes: Sequence[int], index: Index, capacity: int) -> list[tuple[int, i
     for i in empty:
         used[i] = 1
     by_size = _Sizes(rest, [i for i, s in enumerate(rest) if s])
-    home = None
+    home, left = None, len(sizes) - len(empty)
     while (seed := by_size.largest(capacity, used)) is not None:
         used[seed] = 1
         out.append((seed, piece[seed], box, rest[seed]))
         room = capacity - rest[seed]
         least = capacity // 16
         if room >= least:
+            if 2 * (now := len(sizes) - int(marks.sum())) < left:
+                index, left = index.without(marks), now
             for i in index.neighbours(seed, marks):
                 if rest[i] <= room:
                     used[i] = 1
