@@ -13,11 +13,16 @@ from lociq.schemas import RANKS
 from lociq.sources import catalog, sinks
 
 
+def _records(p: DataFrame, folded: DataFrame, *keep: str, how: str = "inner") -> DataFrame:
+    """The FASTA record of each protein: its id, architecture, scores and places, and the sequence."""
+    p = p.where("sequence IS NOT NULL").join(folded, "proteinID", how)
+    p = p.select(*keep, F.concat_ws("-", "genomeID", "proteinID").alias("id"), render.architecture("domains").alias("arch"), render.scores("domains").alias("scores"), render.coordinates("domains").alias("coords"), "sequence")
+    return p.select(*keep, "arch", F.concat(F.lit(">"), F.concat_ws(" ", "id", "arch", "scores", "coords"), F.lit("\n"), F.replace("sequence", F.lit("*"), F.lit(""))).alias("record"))
+
+
 def snk2_architecture_fasta(spark: SparkSession, d: str) -> DataFrame:
     """The FASTA record of each protein with its architecture, which names its file."""
-    p = catalog.proteins(spark, d).where("sequence IS NOT NULL").join(gene_queries._folded(spark, d), "proteinID")
-    p = p.select(F.concat_ws("-", "genomeID", "proteinID").alias("id"), render.architecture("domains").alias("arch"), render.scores("domains").alias("scores"), render.coordinates("domains").alias("coords"), "sequence")
-    return p.select("arch", F.concat(F.lit(">"), F.concat_ws(" ", "id", "arch", "scores", "coords"), F.lit("\n"), F.replace("sequence", F.lit("*"), F.lit(""))).alias("record"))
+    return _records(catalog.proteins(spark, d), gene_queries._folded(spark, d))
 
 
 def snk3_fusion_parts(spark: SparkSession, d: str) -> DataFrame:
@@ -26,10 +31,9 @@ def snk3_fusion_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def snk4_keyword_fasta(spark: SparkSession, d: str) -> DataFrame:
-    """Sequences of the blocks of each keyword subset, a file a subset."""
-    blocks = fetch_queries.cmb2_keyword_subsets(spark, d)
-    p = catalog.proteins(spark, d).where("sequence IS NOT NULL").select("clusterID", "proteinID", "sequence")
-    return p.join(blocks, "clusterID").select("subset", "proteinID", F.length("sequence").alias("n"))
+    """FASTA records of the blocks of each keyword subset, a file a subset."""
+    p = catalog.proteins(spark, d).join(fetch_queries.cmb2_keyword_subsets(spark, d), "clusterID")
+    return _records(p, gene_queries._folded(spark, d), "subset", "proteinID", how="left").select("subset", "proteinID", "record")
 
 
 def snk5_binary_dataset(spark: SparkSession, d: str) -> DataFrame:
