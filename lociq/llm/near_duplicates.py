@@ -1,26 +1,32 @@
 """Near-duplicate records: all pairs of texts whose letter windows are similar enough.
 
-1. Each distinct text gets min-hashes of its windows in bands of two, and a fingerprint of 192
-   bits, one of each of 192 min-hashes, so the distance of two fingerprints follows the
-   similarity of the window sets. Windows that a large part of all
-   texts has take no part in the bands, unless they are a large part of the text.
+1. Each distinct text gets min-hashes of its windows in bands of two, and a fingerprint of 128
+   bits, one of each of 128 min-hashes, so the distance of two fingerprints follows the
+   similarity of the window sets. A band whose two windows are both hot (a large part of all
+   texts has them) is told apart further by the text's least other window; a text that is hot
+   for the most part keeps the plain band besides.
 2. Rows (band key, fingerprint) are sorted by key. In a bucket the fingerprints are turned into
    bit planes, 64 of them to a word, and many distances grow at once in carry-save counters of
-   whole words; a block is abandoned as soon as every lane is beyond the radius. A bucket
-   beyond ``block`` members is cut into blocks, and pairs of blocks go to tasks of their own.
+   whole words; a block is abandoned as soon as every lane is beyond the radius. A key that
+   comes up often in one task is packed into blocks there and never gathers; blocks of a key
+   are spread over a grid of tasks, each holding the pairs of two groups of blocks.
 3. Pairs within the radius are compared exactly on their window sets.
 
 No bucket, partner or candidate is capped. A pair at similarity s shares a band with
-probability 1 - (1 - s^2)^bands; with 24 bands that is 0.999 at 0.5, 0.99998 at 0.6.
+probability 1 - (1 - s^2)^bands; with 32 bands that is 0.9999 at 0.5 and more above it. With
+``exact`` the keys are the rarest windows of each text instead, so many that similar texts
+must share one, and fingerprints turn nothing down: no pair is lost, at many times the cost.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +34,7 @@ from pyspark.sql import types as T
 from lociq.llm.windows import Seen, U, inside, letters, mix, pieces, rolling
 from lociq.session import cut
 
-BITS = 192
+BITS = 128
 WORDS = BITS // 64
 SLOTS = 1 << 22
 _ALL = U(0xFFFFFFFFFFFFFFFF)
@@ -239,71 +245,186 @@ def _texts(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), F.unhex(F.md5(t)).alias("digest"), t.alias("text"))
 
 
-def hot_slots(texts: DataFrame, width: int) -> tuple[np.ndarray, int]:
-    """(hot windows, number of texts). Hot are windows that stand in at least 2 % of all texts (and 50 texts), as a table of hashed
-    slots of a fixed size. They make unlike texts meet, so band keys are taken without them.
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> U(20)).astype(np.int64) & (SLOTS - 1)
 
-    Each task counts all of its texts' windows and reports slots that make up 1 % of them; at
-    most 100 times a text's mean number of windows, whatever the number of texts.
+
+def hot_slots(texts: DataFrame, width: int, share: float = 0.02, over: float = 4.0) -> tuple[np.ndarray, int]:
+    """(hot windows, number of texts). Hot are windows that at least ``share`` of all texts have,
+    as a table of hashed slots of a fixed size; a slot must besides be ``over`` times as full as
+    an even spread makes it, so that long texts don't fill the table by chance.
+
+    Counted exactly in two passes, whatever the layout: what has a share of all texts has that
+    share in some task, so the first pass names every slot that may be hot, and the second
+    counts the texts of these. At most a row a slot reaches the driver.
     """
 
-    def run(batches):
-        count, docs = np.zeros(SLOTS, np.int32), 0
+    def local(batches):
+        count, docs, total = np.zeros(SLOTS, np.int64), 0, 0
         for b in pieces(batches, 0):
             h, n = window_hashes(*letters(b.column(0)), width)
-            count += np.bincount((h >> U(20)).astype(np.int64) & (SLOTS - 1), minlength=SLOTS).astype(np.int32)
-            docs += len(n)
+            count += np.bincount(_slot(h), minlength=SLOTS)
+            docs, total = docs + len(n), total + len(h)
         if docs:
-            at = np.nonzero(count >= max(1, docs // 100))[0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(count[at], docs).astype(np.int64))], names=["slot", "n"])
+            at = np.nonzero(count >= max(1, share * docs))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(np.zeros(len(at), np.int64), [docs, total]))], names=["slot", "n"])
 
-    rows = texts.select("text").mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    t = rows.where("slot = -1 OR n >= 50").toArrow()  # at most a row a slot
+    only = texts.select("text")
+    t = only.mapInArrow(local, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     slot, n = t.column(0).to_numpy(), t.column(1).to_numpy()
+    docs, total = int(n[slot == -1].sum()), int(n[slot == -2].sum())
     out = np.zeros(SLOTS, bool)
-    docs = int(n[slot == -1].sum())
-    out[slot[(slot >= 0) & (n >= 0.02 * docs)]] = True
-    return out, docs
+    out[slot[slot >= 0]] = True
+    if not out.any():
+        return out, docs
+    sent = texts.sparkSession.sparkContext.broadcast(np.packbits(out))
 
+    def exact(batches):
+        may, count = np.unpackbits(sent.value).astype(bool), np.zeros(SLOTS, np.int64)
+        for b in pieces(batches, 0):
+            h, n = window_hashes(*letters(b.column(0)), width)
+            at = _slot(h)
+            keep = may[at]
+            once = np.unique(np.repeat(np.arange(len(n)), n)[keep] * SLOTS + at[keep])
+            count += np.bincount(once & (SLOTS - 1), minlength=SLOTS)
+        at = np.nonzero(count)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["slot", "n"])
+
+    t = only.mapInArrow(exact, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where(F.col("n") >= F.lit(max(share * docs, over * total / SLOTS))).toArrow()
+    out[:] = False
+    out[t.column(0).to_numpy()] = True
+    return out, docs
 
-def _band_rows(texts: DataFrame, width: int, bands: int, hot_table: np.ndarray, most_hot: float = 0.15) -> DataFrame:
-    """(key, fingerprint): ``bands`` rows a text. Copies met by the same task go once.
 
-    Keys leave hot windows out. A text of which more than ``most_hot`` is hot gets keys of all
-    its windows besides. Of a similar pair either both texts do and meet there, or the hot part
-    of one is small, and what they share of the rest is nearly the whole share.
-    """
+class _Packer:
+    """Rows (key, fingerprint) of a task on their way out. Keys that come up ``often`` in one
+    piece are packed into blocks of fingerprints; the others go on as plain rows."""
+
+    NAMES = ["part", *[f"f{i}" for i in range(WORDS)], "fps"]
+
+    def __init__(self, often: int, block: int):
+        self.often, self.block, self.serial = often, block, 0
+        self.held: dict[int, list[np.ndarray]] = {}
+        self.size: Counter[int] = Counter()
+
+    def rows(self, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        kinds, of, n = np.unique(key, return_inverse=True, return_counts=True)
+        many = n >= self.often
+        if self.held:
+            many |= np.isin(kinds, np.fromiter(self.held, U, len(self.held)))
+        packed = many[of]
+        yield self._plain(key[~packed], fp[~packed])
+        if packed.any():
+            order = np.argsort(of[packed], kind="stable")
+            k, f = key[packed][order], fp[packed][order]
+            edges = np.concatenate([[0], np.nonzero(k[1:] != k[:-1])[0] + 1, [len(k)]])
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                x = int(k[a])
+                if x not in self.held:
+                    self.held[x] = []
+                    # An empty block tells the key's own task that there are blocks elsewhere.
+                    yield self._block(x, x, np.zeros((0, WORDS), U))
+                self.held[x].append(f[a:b])
+                self.size[x] += b - a
+                if self.size[x] >= self.block:
+                    yield from self._flush(x)
+            if len(self.held) > 10_000:
+                yield from self.rest()
+                self.held.clear()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        for x in list(self.held):
+            yield from self._flush(x)
+
+    def _flush(self, x: int) -> Iterator[pa.RecordBatch]:
+        if self.held[x]:
+            fp = np.concatenate(self.held[x])
+            self.held[x], self.size[x] = [], 0
+            self.serial += 1
+            yield self._block(int(mix(np.array([x], U) + U(self.serial) + mix(fp[:1, 0]))[0]), x, fp)
+
+    def _plain(self, key, fp) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *_fp_arrays(fp), pa.nulls(len(key), pa.binary())], names=self.NAMES)
+
+    def _block(self, part: int, key: int, fp: np.ndarray) -> pa.RecordBatch:
+        whole = np.concatenate([np.array([key], U), fp.ravel()]).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array(np.array([part], U).view(np.int64)), *[pa.nulls(1, pa.int64())] * WORDS, pa.array([whole], pa.binary())], names=self.NAMES)
+
+
+_ROWS = T.StructType([T.StructField("part", _LONG), *_fp_fields("f"), T.StructField("fps", T.BinaryType())])
+
+
+def _keyed_rows(texts: DataFrame, width: int, keys, hot_table: np.ndarray, often: int, block: int) -> DataFrame:
+    """(part, fingerprint, fps): a row for each of a text's keys, or blocks of fingerprints of
+    keys that come up often. ``keys`` makes (row, key) out of a piece's windows. Copies met by
+    the same task go once."""
     sent = texts.sparkSession.sparkContext.broadcast(np.packbits(hot_table))
 
     def run(batches):
-        seen, hot = Seen(), np.unpackbits(sent.value).astype(bool)
+        seen, hot, out = Seen(), np.unpackbits(sent.value).astype(bool), _Packer(often, block)
         for b in pieces(batches, 1, 250_000):
             b = b.take(pa.array(seen.fresh(b.column(0).to_pylist()), pa.int64()))
             if not b.num_rows:
                 continue
             h, n = window_hashes(*letters(b.column(1)), width)
             whole = min_hashes(h, n, BITS)
-            fp = fingerprints(whole)
-            owner = np.repeat(np.arange(len(n)), n)
-            is_hot = hot[(h >> U(20)).astype(np.int64) & (SLOTS - 1)]
-            n_cold = np.bincount(owner[~is_hot], minlength=len(n))
-            cold, dense = np.nonzero(n_cold)[0], np.nonzero(n - n_cold > most_hot * n)[0]
-            least = whole[cold].copy()
-            some = np.nonzero((n_cold < n)[cold])[0]  # only texts with hot windows are hashed anew
-            if len(some):
-                least[some, : 2 * bands] = min_hashes(h[~is_hot & np.isin(owner, cold[some])], n_cold[cold[some]], 2 * bands)
-            for who, keys in ((cold, band_keys(least, bands)), (dense, band_keys(whole[dense], bands))):
-                if len(who):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), *_fp_arrays(np.repeat(fp[who], bands, axis=0))], names=["key", *_FP])
-
-    return texts.select("digest", "text").mapInArrow(run, T.StructType([T.StructField("key", _LONG), *_fp_fields("f")]))
+            row, key = keys(h, n, whole, hot[_slot(h)])
+            yield from out.rows(key, fingerprints(whole)[row])
+        yield from out.rest()
+
+    return texts.select("digest", "text").mapInArrow(run, _ROWS)
+
+
+def _banded(bands: int, most_hot: float = 0.15):
+    """Keys by bands of two min-hashes. Where both windows are hot, the band's first min-hash of
+    the other windows is added, which pairs of which the hot part is small nearly always share
+    too if they share the band; a text of which more than ``most_hot`` is hot keeps the plain
+    key besides and meets its like there."""
+
+    def keys(h, n, whole, is_hot):
+        key, row = band_keys(whole, bands), np.repeat(np.arange(len(n)), bands)
+        owner = np.repeat(np.arange(len(n)), n)
+        n_hot = np.bincount(owner[is_hot], minlength=len(n))
+        some = np.nonzero(n_hot)[0]
+        if not len(some):
+            return row, key.ravel()
+        cold = np.full((len(some), 2 * bands), 0xFFFFFFFF, np.uint32)
+        part = (n_hot > 0) & (n_hot < n)
+        cold[part[some]] = min_hashes(h[~is_hot & part[owner]], (n - n_hot)[part], 2 * bands)
+        by_hot = whole[some, : 2 * bands] < cold
+        both = by_hot[:, ::2] & by_hot[:, 1::2]
+        at, band = np.nonzero(both & (n_hot > most_hot * n)[some, None])
+        plain = key[some[at], band]
+        key[some] = np.where(both, mix(key[some] + mix(cold[:, ::2].astype(U) + U(77))), key[some])
+        return np.concatenate([row, some[at]]), np.concatenate([key.ravel(), plain])
+
+    return keys
+
+
+def _prefixed(least: float):
+    """Keys that no pair at ``least`` can miss: of the n windows of a text, in an order that is
+    the same for all texts, the first n - ceil(least n) + 1. Hot windows come last in it."""
+
+    def keys(h, n, whole, is_hot):
+        owner = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((h, is_hot, owner))
+        h, owner = h[order], owner[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+        h, owner = h[new], owner[new]
+        size = np.bincount(owner, minlength=len(n))
+        place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+        take = place < (size - np.ceil(least * size - 1e-9) + 1)[owner]
+        return owner[take], h[take]
+
+    return keys
 
 
 def _compare(rows: DataFrame, radius: int, block: int, tasks: int) -> DataFrame:
     """Fingerprint pairs of all buckets: kind 0 are pairs within the radius (a*, b*); kind 1
-    are blocks of a bucket that is too large for one task (key, no, fps)."""
-    sorted_rows = rows.repartition(tasks, "key").sortWithinPartitions("key", *_FP)
-    names = ["kind", *[f"a{i}" for i in range(WORDS)], *[f"b{i}" for i in range(WORDS)], "key", "no", "fps"]
+    are blocks of a bucket that isn't finished in one task (key, fps)."""
+    sorted_rows = rows.repartition(tasks, "part").sortWithinPartitions("part", *_FP)
+    names = ["kind", *[f"a{i}" for i in range(WORDS)], *[f"b{i}" for i in range(WORDS)], "key", "fps"]
 
     def pairs(key, fp):
         if not len(key):
@@ -312,70 +433,87 @@ def _compare(rows: DataFrame, radius: int, block: int, tasks: int) -> DataFrame:
         if not len(i):
             return
         ab = np.unique(np.concatenate([fp[i], fp[j]], axis=1), axis=0)
-        none = pa.nulls(len(ab), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ab), np.int32)), *_fp_arrays(ab[:, :WORDS]), *_fp_arrays(ab[:, WORDS:]), none, pa.nulls(len(ab), pa.int32()), pa.nulls(len(ab), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ab), np.int32)), *_fp_arrays(ab[:, :WORDS]), *_fp_arrays(ab[:, WORDS:]), pa.nulls(len(ab), pa.int64()), pa.nulls(len(ab), pa.binary())], names=names)
 
-    def blocks(key, no, fp):
+    def blocks(key, fp):
         none = pa.nulls(1, pa.int64())
         for at in range(0, len(fp), block):
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *[none] * (2 * WORDS), pa.array([int(key)], pa.int64()), pa.array([no + at // block], pa.int32()), pa.array([fp[at : at + block].tobytes()], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *[none] * (2 * WORDS), pa.array([int(key)], pa.int64()), pa.array([fp[at : at + block].tobytes()], pa.binary())], names=names)
 
     def run(batches):
         key, fp = np.zeros(0, np.int64), np.zeros((0, WORDS), U)
-        big, no = None, 0  # the bucket that is being cut into blocks, and its next block
+        open_ = None  # the bucket that is going out in blocks
+        marked: set[int] = set()  # keys of this task with blocks elsewhere
         for b in chain(batches, [None]):
             if b is not None:
-                key, fp = np.concatenate([key, b.column(0).to_numpy()]), np.concatenate([fp, _fp_of(b, 1)])
+                packed = b.column(1 + WORDS).is_valid()
+                for x in b.column(1 + WORDS).filter(packed).to_pylist():
+                    own = np.frombuffer(x, U)
+                    if len(own) == 1:
+                        marked.add(int(own.view(np.int64)[0]))
+                    else:
+                        yield from blocks(own.view(np.int64)[0], own[1:].reshape(-1, WORDS))
+                plain = b.filter(pa.compute.invert(packed))
+                key, fp = np.concatenate([key, plain.column(0).to_numpy()]), np.concatenate([fp, _fp_of(plain, 1)])
                 if len(key) < block:
                     continue
             if not len(key):
                 continue
             edges = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]])
             closed = len(edges) - (1 if b is None else 2)  # the last bucket may go on
-            first = 0
-            if big is not None and key[0] == big:
-                if closed:
-                    yield from blocks(big, no, fp[: edges[1]])
-                    first, big, no = 1, None, 0
-            else:
-                big, no = None, 0
-            begin = edges[first]
-            for x in np.nonzero(np.diff(edges[: closed + 1]) > block)[0]:
-                if x >= first:
-                    yield from pairs(key[begin : edges[x]], fp[begin : edges[x]])
-                    yield from blocks(key[edges[x]], 0, fp[edges[x] : edges[x + 1]])
-                    begin = edges[x + 1]
-            if begin < edges[closed]:
-                yield from pairs(key[begin : edges[closed]], fp[begin : edges[closed]])
+            first = edges[:closed]
+            big = np.diff(edges[: closed + 1]) > block
+            if marked:
+                big |= np.isin(key[first], np.fromiter(marked, np.int64, len(marked)))
+            if open_ is not None and closed:
+                big[0] |= key[0] == open_
+            begin = 0
+            for x in np.nonzero(big)[0]:
+                yield from pairs(key[begin : edges[x]], fp[begin : edges[x]])
+                yield from blocks(key[edges[x]], fp[edges[x] : edges[x + 1]])
+                begin = edges[x + 1]
+            yield from pairs(key[begin : edges[closed]], fp[begin : edges[closed]])
             key, fp = key[edges[closed] :], fp[edges[closed] :]
-            while len(key) >= block:
-                big = key[0]
-                yield from blocks(big, no, fp[:block])
-                key, fp, no = key[block:], fp[block:], no + 1
+            while len(key) > block:
+                open_ = key[0]
+                yield from blocks(open_, fp[:block])
+                key, fp = key[block:], fp[block:]
 
-    schema = T.StructType([T.StructField("kind", T.IntegerType()), *_fp_fields("a"), *_fp_fields("b"), T.StructField("key", _LONG), T.StructField("no", T.IntegerType()), T.StructField("fps", T.BinaryType())])
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), *_fp_fields("a"), *_fp_fields("b"), T.StructField("key", _LONG), T.StructField("fps", T.BinaryType())])
     return sorted_rows.mapInArrow(run, schema)
 
 
-def _compare_blocks(blocks: DataFrame, radius: int) -> DataFrame:
-    """Pairs of the buckets that were cut: every two blocks of a bucket are one row of work,
-    spread over tasks by both block numbers."""
-    a = blocks.select("key", "no", F.col("fps").alias("left"))
-    b = blocks.select("key", F.col("no").alias("no_b"), F.col("fps").alias("right"))
-    work = a.join(b, "key").where("no <= no_b").repartition("key", "no", "no_b").select((F.col("no") == F.col("no_b")).alias("own"), "left", "right")
+#: Keys whose block counts may be broadcast (16 bytes each); beyond it they are joined by shuffle.
+MOST_KEYS = 1_000_000
 
-    def run(batches):
-        for batch in batches:
-            for own, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.frombuffer(left, U).reshape(-1, WORDS)
-                y = x if own else np.frombuffer(right, U).reshape(-1, WORDS)
-                for s in range(0, len(x), 2048):
-                    for t in range(s if own else 0, len(y), 2048):
-                        i, j = near_pairs(x[s : s + 2048], None if own and s == t else y[t : t + 2048], radius)
-                        if len(i):
-                            yield pa.RecordBatch.from_arrays([*_fp_arrays(x[i + s]), *_fp_arrays(y[j + t])], names=[f"a{k}" for k in range(WORDS)] + [f"b{k}" for k in range(WORDS)])
 
-    return work.mapInArrow(run, T.StructType([*_fp_fields("a"), *_fp_fields("b")]))
+def _compare_blocks(blocks: DataFrame, radius: int, group: int = 16) -> DataFrame:
+    """Pairs of the buckets that were cut. A bucket's blocks fall into groups of about ``group``
+    by a hash; every two groups are a cell of a grid and a task of its own, so a block is sent
+    once for each group of its bucket and not once for each other block."""
+    n = blocks.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("groups"))
+    few = n.limit(MOST_KEYS + 1).count() <= MOST_KEYS
+    placed = blocks.select("key", "fps").join(F.broadcast(n) if few else n, "key").withColumn("own", F.pmod(F.xxhash64("fps"), F.col("groups")).cast("int"))
+    cells = placed.select("key", "own", "fps", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("x")).select("key", F.least("own", "x").alias("row"), F.greatest("own", "x").alias("col"), "own", "fps")
+    names = [f"a{k}" for k in range(WORDS)] + [f"b{k}" for k in range(WORDS)]
+    schema = T.StructType([*_fp_fields("a"), *_fp_fields("b")])
+
+    def run(t: pa.Table) -> pa.Table:
+        own, row, col = (t.column(c).to_numpy() for c in ("own", "row", "col"))
+        fps = t.column("fps").to_pylist()
+        side = lambda g: np.frombuffer(b"".join(f for f, o in zip(fps, own, strict=True) if o == g), U).reshape(-1, WORDS)
+        same = bool(row[0] == col[0])
+        x = side(row[0])
+        y = x if same else side(col[0])
+        a, b = [np.zeros((0, WORDS), U)], [np.zeros((0, WORDS), U)]
+        for s in range(0, len(x), 2048):
+            for e in range(s if same else 0, len(y), 2048):
+                i, j = near_pairs(x[s : s + 2048], None if same and s == e else y[e : e + 2048], radius)
+                a.append(x[i + s])
+                b.append(y[j + e])
+        return pa.table([*_fp_arrays(np.concatenate(a)), *_fp_arrays(np.concatenate(b))], names=names)
+
+    return cells.groupBy("key", "row", "col").applyInArrow(run, schema)
 
 
 def _fingerprinted(texts: DataFrame, width: int) -> DataFrame:
@@ -420,21 +558,21 @@ def _similar(pairs: DataFrame, width: int, least: float) -> DataFrame:
     return pairs.select("digest_a", "text_a", "digest_b", "text_b").mapInArrow(run, "digest_a binary, digest_b binary, similarity double")
 
 
-def class_links(df: DataFrame, id_col: str, text_col: str, width: int = 5, least: float = 0.5, bands: int = 24, block: int = 8_192) -> DataFrame:
+def class_links(df: DataFrame, id_col: str, text_col: str, width: int = 5, least: float = 0.5, bands: int = 32, block: int = 8_192, often: int = 64, exact: bool = False) -> DataFrame:
     """Links between different texts, once each: digest_a < digest_b, similarity.
 
     The similarity of two texts is the number of their common distinct windows of ``width``
     letters by that of all their windows. Rows with a null id or a text of fewer than ``width``
-    letters (empty and null included) have no windows and no links.
+    letters (empty and null included) have no windows and no links. ``exact`` loses none.
     """
     # Four standard deviations of the distance at the limit: a false rejection in 30,000.
     mean = BITS * (1 - least) / 2
-    radius = int(mean + 4 * (mean * (1 - mean / BITS)) ** 0.5)
+    radius = BITS if exact else int(mean + 4 * (mean * (1 - mean / BITS)) ** 0.5)
     texts = _texts(df, id_col, text_col, width)
     hot, n_texts = hot_slots(texts, width)
     # About 16 MB of band rows a task, however many texts there are.
     tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_texts * bands * 8 * (1 + WORDS) // 16_000_000))
-    found = cut(_compare(_band_rows(texts, width, bands, hot), radius, block, tasks))
+    found = cut(_compare(_keyed_rows(texts, width, _prefixed(least) if exact else _banded(bands), hot, often, block), radius, block, tasks))
     pairs = found.where("kind = 0").select("a0", "b0").unionByName(_compare_blocks(found.where("kind = 1"), radius).select("a0", "b0"))
     pairs = pairs.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")).distinct()
     # The first word of a fingerprint stands for the texts that have it; texts that share one
@@ -454,14 +592,14 @@ def members(df: DataFrame, id_col: str, text_col: str, width: int = 5) -> DataFr
     return _texts(df, id_col, text_col, width).select("digest", "id").distinct()
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, width: int = 5, least: float = 0.5, bands: int = 24) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, width: int = 5, least: float = 0.5, bands: int = 32, exact: bool = False) -> DataFrame:
     """All pairs of ids, a < b, whose texts are at least ``least`` similar, copies expanded.
 
     Null ids, and null, empty and shorter texts than a window, are in no pair; repeated rows
     count once; very long texts are compared whole; extra columns are ignored; an empty table
     gives no pairs.
     """
-    links = cut(class_links(df, id_col, text_col, width, least, bands))
+    links = cut(class_links(df, id_col, text_col, width, least, bands, exact=exact))
     m = cut(members(df, id_col, text_col, width))  # met four times below; texts are read once for it
     ma, mb = m.select(F.col("digest").alias("digest_a"), F.col("id").alias("x")), m.select(F.col("digest").alias("digest_b"), F.col("id").alias("y"))
     across = links.select("digest_a", "digest_b").join(ma, "digest_a").join(mb, "digest_b").select("x", "y")
@@ -473,13 +611,13 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, width: int =
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, width: int = 5, least: float = 0.5, bands: int = 24) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, width: int = 5, least: float = 0.5, bands: int = 32, exact: bool = False) -> DataFrame:
     """One row per record with a window: id, class_id (the least id of records with the same
     text), group_id (the least class_id linked to it, directly or through others), links
     (texts linked directly to its own)."""
     m = cut(members(df, id_col, text_col, width))
     rep = m.groupBy("digest").agg(F.min("id").alias("class_id"))
-    links = class_links(df, id_col, text_col, width, least, bands)
+    links = class_links(df, id_col, text_col, width, least, bands, exact=exact)
     ra, rb = rep.select(F.col("digest").alias("digest_a"), F.col("class_id").alias("a")), rep.select(F.col("digest").alias("digest_b"), F.col("class_id").alias("b"))
     edges = cut(links.join(ra, "digest_a").join(rb, "digest_b").select("a", "b"))
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
