@@ -206,6 +206,21 @@ def test_shared_runs_against_brute_force(spark, seed, hot):
     assert len(got) == len(set(got)) and set(got) == brute_runs(rows)
 
 
+def test_hot_anchor_reaches_its_task_in_few_rows(spark):
+    """A stretch in all of 400 texts: what gathers under its anchors is two rows and a number a task."""
+    r = random.Random(8)
+    word = lambda n: "".join(r.choice(LETTERS) for _ in range(n))
+    motif = word(60)
+    df = spark.createDataFrame([(f"p{i}", word(80) + motif + word(80)) for i in range(400)], "id string, seq string").repartition(4)
+    rows = ss._anchor_rows(ss._texts(df, "id", "seq", 40), 40)
+    assert rows.groupBy("part").count().agg({"count": "max"}).collect()[0][0] <= 12
+    kept = ss._several(rows, 300).collect()
+    assert sum(x.slot is not None for x in kept) >= 1 and sum(x.slot is None for x in kept) >= 400
+    whole = {tuple(x) for x in ss.shared_runs(df, "id", "seq").collect()}
+    assert whole == {tuple(x) for x in ss.shared_runs(df, "id", "seq", hot=300).collect()}
+    assert {x[0] for x in whole} == {f"p{i}" for i in range(400)}
+
+
 def test_share_of_records(spark):
     got = {r.id: (r.letters, r.shared) for r in ss.shared_share(spark.createDataFrame([("a", "Q" * 50), ("b", "Q" * 45), ("c", "W"), ("d", ""), ("e", None)], "id string, seq string"), "id", "seq").collect()}
     assert got == {"a": (50, 50), "b": (45, 45), "c": (1, 0), "d": (0, 0)}
