@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lociq.llm.windows import Seen, U, inside, letters, mix, pieces, rolling
+from lociq.llm.windows import Seen, U, inside, letters, mix, pieces, rolling, sliding_min
 from lociq.session import cut
 
 BITS = 128
@@ -43,10 +43,27 @@ _ALL = U(0xFFFFFFFFFFFFFFFF)
 # --- sketches -------------------------------------------------------------------------
 
 
+def codes(data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A number for each window of ``width`` letters: the letters themselves, a byte each, of
+    windows of at most 8 plain letters; else a hash with the top bit set. Equal windows have
+    equal numbers whatever stands around them."""
+    if width <= 8 and data.dtype == np.uint8:
+        whole = np.concatenate([data, np.zeros(8, np.uint8)])
+        return np.ndarray(len(data), "<u8", whole, strides=(1,))[at] & U((1 << 8 * width) - 1)
+    h = rolling(data, width, 13, 5)[at] | U(1 << 63)
+    if width <= 8:
+        plain = sliding_min((data < 128).astype(np.uint8), width)[at] == 1
+        packed = np.zeros(len(at), U)
+        for i in range(width):
+            packed |= (data[at + i].astype(U) & U(0xFF)) << U(8 * i)
+        h = np.where(plain, packed, h)
+    return h
+
+
 def window_hashes(data: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all windows, number of windows of each text)."""
     at, n = inside(off, width)
-    return mix(rolling(data, width, 13, 5)[at]) if len(at) else np.zeros(0, U), n
+    return mix(codes(data, at, width)) if len(at) else np.zeros(0, U), n
 
 
 def min_hashes(h: np.ndarray, n: np.ndarray, count: int) -> np.ndarray:
@@ -245,6 +262,12 @@ def _texts(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), F.unhex(F.md5(t)).alias("digest"), t.alias("text"))
 
 
+def _different(x: np.ndarray) -> np.ndarray:
+    """The different numbers, sorted."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> U(20)).astype(np.int64) & (SLOTS - 1)
 
@@ -261,7 +284,7 @@ def hot_slots(texts: DataFrame, width: int, share: float = 0.02, over: float = 4
 
     def local(batches):
         count, docs, total = np.zeros(SLOTS, np.int64), 0, 0
-        for b in pieces(batches, 0):
+        for b in pieces(batches, 0, 500_000):
             h, n = window_hashes(*letters(b.column(0)), width)
             count += np.bincount(_slot(h), minlength=SLOTS)
             docs, total = docs + len(n), total + len(h)
@@ -281,11 +304,11 @@ def hot_slots(texts: DataFrame, width: int, share: float = 0.02, over: float = 4
 
     def exact(batches):
         may, count = np.unpackbits(sent.value).astype(bool), np.zeros(SLOTS, np.int64)
-        for b in pieces(batches, 0):
+        for b in pieces(batches, 0, 500_000):
             h, n = window_hashes(*letters(b.column(0)), width)
             at = _slot(h)
             keep = may[at]
-            once = np.unique(np.repeat(np.arange(len(n)), n)[keep] * SLOTS + at[keep])
+            once = _different(np.repeat(np.arange(len(n)), n)[keep] * SLOTS + at[keep])
             count += np.bincount(once & (SLOTS - 1), minlength=SLOTS)
         at = np.nonzero(count)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["slot", "n"])
@@ -423,7 +446,7 @@ def _prefixed(least: float):
 def _compare(rows: DataFrame, radius: int, block: int, tasks: int) -> DataFrame:
     """Fingerprint pairs of all buckets: kind 0 are pairs within the radius (a*, b*); kind 1
     are blocks of a bucket that isn't finished in one task (key, fps)."""
-    sorted_rows = rows.repartition(tasks, "part").sortWithinPartitions("part", *_FP)
+    sorted_rows = rows.repartition(tasks, "part").sortWithinPartitions("part")
     names = ["kind", *[f"a{i}" for i in range(WORDS)], *[f"b{i}" for i in range(WORDS)], "key", "fps"]
 
     def pairs(key, fp):
@@ -533,27 +556,43 @@ def _fingerprinted(texts: DataFrame, width: int) -> DataFrame:
 def _similar(pairs: DataFrame, width: int, least: float) -> DataFrame:
     """(digest_a, digest_b, similarity) of the pairs that are at least ``least`` similar."""
 
+    def distinct(b, c):
+        """(row, window) of the different windows of a text column's rows, sorted."""
+        data, off = letters(b.column(c))
+        at, n = inside(off, width)
+        owner, code = np.repeat(np.arange(len(n)), n), codes(data, at, width)
+        if width <= 5 and data.dtype == np.uint8 and b.num_rows < 1 << 24:  # both in one number
+            return _different(owner.astype(U) << U(40) | code), None
+        order = np.lexsort((code, owner))
+        owner, code = owner[order], code[order]
+        new = np.ones(len(code), bool)
+        new[1:] = (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])
+        return owner[new], code[new]
+
+    def common(b):
+        """(windows in both, windows in either) of each row's texts."""
+        (x, cx), (y, cy) = distinct(b, 1), distinct(b, 3)
+        if cx is None and cy is None:
+            z = np.sort(np.concatenate([x, y]))
+            twice, owner = z[1:][z[1:] == z[:-1]] >> U(40), z >> U(40)
+        else:
+            if cx is None:
+                x, cx = (x >> U(40)).astype(np.int64), x & U((1 << 40) - 1)
+            if cy is None:
+                y, cy = (y >> U(40)).astype(np.int64), y & U((1 << 40) - 1)
+            owner, code = np.concatenate([x, y]), np.concatenate([cx, cy])
+            order = np.lexsort((code, owner))
+            owner, code = owner[order], code[order]
+            twice = owner[1:][(code[1:] == code[:-1]) & (owner[1:] == owner[:-1])]
+        both = np.bincount(twice.astype(np.int64), minlength=b.num_rows)
+        return both, np.bincount(owner.astype(np.int64), minlength=b.num_rows) - both
+
     def run(batches):
         for whole in batches:
-            for b in pieces(iter([whole]), 1, 1_000_000):
-                sets = []
-                for c in (1, 3):
-                    h, n = window_hashes(*letters(b.column(c)), width)
-                    owner = np.repeat(np.arange(len(n)), n)
-                    order = np.lexsort((h, owner))
-                    h, owner = h[order], owner[order]
-                    new = np.ones(len(h), bool)
-                    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-                    sets.append((owner[new], h[new]))
-                owner, h = (np.concatenate([sets[0][i], sets[1][i]]) for i in (0, 1))
-                order = np.lexsort((h, owner))
-                h, owner = h[order], owner[order]
-                twice = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
-                both = np.bincount(owner[1:][twice], minlength=b.num_rows)
-                either = np.bincount(owner, minlength=b.num_rows) - both
-                s = both / either
+            for b in pieces(iter([whole]), 1, 250_000):
+                both, either = common(b)
                 at = pa.array(np.nonzero(both >= least * either)[0])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(s).take(at)], names=["digest_a", "digest_b", "similarity"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(2).take(at), pa.array(both / either).take(at)], names=["digest_a", "digest_b", "similarity"])
 
     return pairs.select("digest_a", "text_a", "digest_b", "text_b").mapInArrow(run, "digest_a binary, digest_b binary, similarity double")
 
