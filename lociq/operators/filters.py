@@ -47,3 +47,13 @@ def has_all(rows: DataFrame, group: str, value: str, parts: Sequence[str]) -> Da
 def limited(genomes: DataFrame, members: DataFrame, mode: str = "semi") -> DataFrame:
     """Genomes that have (``semi``) or lack (``anti``) a row in ``members``."""
     return genomes.join(members.select("genomeID"), "genomeID", "left_semi" if mode == "semi" else "left_anti")
+
+
+def keyword_subsets(keywords: DataFrame, group: str, names: Sequence[str]) -> DataFrame:
+    """(group, subset): groups for each non-empty subset ``a+b`` of the keyword patterns ``names``
+    of which every one matches a keyword of the group. The groups' matches are found once; the
+    subsets, 2 to the number of names less one, come out of those."""
+    hits = F.array_compact(F.array(*[F.when(F.bool_or((F.col("keyword") == n) | F.col("keyword").rlike(f"^(?:{n})")), F.lit(n)) for n in names]))
+    per = keywords.groupBy(group).agg(hits.alias("hits")).where(F.size("hits") > 0)
+    grown = F.aggregate("hits", F.array(F.lit("")), lambda acc, n: F.concat(acc, F.transform(acc, lambda x: F.when(x == "", n).otherwise(F.concat_ws("+", x, n)))))
+    return per.select(group, F.explode(F.filter(grown, lambda x: x != "")).alias("subset"))

@@ -26,8 +26,8 @@ def key_stats(df: DataFrame, key: Column, value: Column) -> DataFrame:
     """
     w = weighted(df, key, value)
     some = F.col("value").isNotNull()
-    # A second salted level keeps even a key with countless values out of a single task:
-    # the aggregates below are all partial aggregates, so nothing is gathered.
+    # These aggregates all combine before the shuffle: of a key with countless values a task
+    # sends one row.
     best = w.where(some).groupBy("key").agg(
         F.count(F.lit(1)).alias("distinct_values"), F.sum("n").alias("values"), F.max("n").alias("mode_rows"),
         F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode"),
@@ -39,23 +39,39 @@ def key_stats(df: DataFrame, key: Column, value: Column) -> DataFrame:
     )
 
 
-def key_percentile(df: DataFrame, key: Column, value: Column, p: float, width: int = 256) -> DataFrame:
+def key_percentile(df: DataFrame, key: Column, value: Column, p: float, fan: int = 1 << 12) -> DataFrame:
     """Per key the exact lower percentile: the least value with at least ``p`` of the key's
     non-null values at or below it. ``value`` must be a whole number.
 
-    Two levels: coarse bins of ``width`` values are summed up, the bin that holds the rank is
-    picked, and only that bin's values are ranked. So a window sees at most (range / width)
-    bins or ``width`` values a key. Keys without a non-null value give no row.
+    Bins are summed up and the one that holds the rank is picked, then its own bins, down to
+    single values. A level cuts a bin into at most ``fan``, so a window never sees more rows of
+    a key than that, however wide its values; their range decides how many levels there are.
+    Keys without a non-null value give no row.
     """
-    w = weighted(df, key, value.cast("long")).where("value IS NOT NULL").withColumn("bin", F.expr(f"floor(value / {width})"))
-    bins = w.groupBy("key", "bin").agg(F.sum("n").alias("n"))
+    w = weighted(df, key, value.cast("long")).where("value IS NOT NULL")
+    low, high = w.agg(F.min("value"), F.max("value")).first()
+    if low is None:
+        return w.select("key", F.col("value").alias("percentile"))
+    width = 1
+    while width * fan <= high - low:
+        width *= fan
     per = Window.partitionBy("key")
-    cum = bins.select("key", "bin", "n", F.sum("n").over(per.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(per).alias("total"))
-    rank = F.greatest(F.ceil(F.col("total") * F.lit(p)), F.lit(1))
-    target = cum.where((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)).select(F.col("key").alias("_k"), F.col("bin").alias("_b"), (rank - (F.col("upto") - F.col("n"))).alias("need"))
-    inside = w.join(target, F.col("key").eqNullSafe(F.col("_k")) & (F.col("bin") == F.col("_b")))
-    upto = F.sum("n").over(per.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    return inside.withColumn("u", upto).where("u >= need").groupBy("key").agg(F.min("value").alias("percentile"))
+    inside, need = w.select("key", "value", "n"), None
+    while True:
+        # The lowest value of a bin stands for it.
+        bins = inside.withColumn("value", F.expr(f"value - pmod(value, {width}L)")).groupBy("key", "value").agg(F.sum("n").alias("n"))
+        cum = bins.select("key", "value", "n", F.sum("n").over(per.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"), F.sum("n").over(per).alias("total"))
+        if need is None:
+            cum = cum.withColumn("need", F.greatest(F.ceil(F.col("total") * F.lit(p)), F.lit(1)))
+        else:
+            cum = cum.join(need, F.col("key").eqNullSafe(F.col("_k"))).drop("_k", "_b")
+        found = cum.where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
+        if width == 1:
+            return found.select("key", F.col("value").alias("percentile"))
+        need = found.select(F.col("key").alias("_k"), F.col("value").alias("_b"), (F.col("need") - (F.col("upto") - F.col("n"))).alias("need"))
+        at = F.col("key").eqNullSafe(F.col("_k")) & (F.col("value") >= F.col("_b")) & (F.col("value") < F.col("_b") + width)
+        inside = w.join(need.select("_k", "_b"), at).select("key", "value", "n")
+        width //= fan
 
 
 def heavy_keys(fields: Sequence[tuple[str, DataFrame, Column, Column]], share: str) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociq.operators.ordered import numbered
+
 
 def presence(genomes: DataFrame, found: DataFrame, features: Sequence[str]) -> DataFrame:
     """genomeID and one 0/1 column a feature; every genome has a row, features in given order.
@@ -17,8 +19,10 @@ def presence(genomes: DataFrame, found: DataFrame, features: Sequence[str]) -> D
 
 
 def combined(matrix: DataFrame, features: Sequence[str], most: int = 3, least: int = 2) -> DataFrame:
-    """The matrix with a column ``a+b`` for each combination of features: 1 if all are there."""
-    wide = [F.least(*[F.col(f"`{f}`") for f in c]).alias("+".join(c)) for k in range(least, most + 1) for c in combinations(features, k)]
+    """The matrix with a column ``a+b`` for each combination of features: 1 if all are there. A
+    feature of that name stays as it is."""
+    named = {"+".join(c): c for k in range(least, most + 1) for c in combinations(features, k)}
+    wide = [F.least(*[F.col(f"`{f}`") for f in c]).alias(n) for n, c in named.items() if n not in matrix.columns]
     return matrix.select("*", *wide)
 
 
@@ -52,4 +56,4 @@ def first_appearance(genomes: DataFrame, ranks: Sequence[str], level: str) -> Da
     """(taxon, place): taxa of a level by where they first come up when genomes are sorted by
     lineage. The first lineage of a taxon is found by an aggregate; only taxa are ranked."""
     first = genomes.groupBy(F.col(level).alias("taxon")).agg(F.min(F.struct(*ranks)).alias("first"))
-    return first.select("taxon", F.row_number().over(Window.orderBy("first", "taxon")).alias("place"))
+    return numbered(first, (), ("first", "taxon")).select("taxon", "place")

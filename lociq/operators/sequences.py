@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociq.operators.ordered import numbered
+
 
 def merge_first(records: DataFrame, order: Sequence[Column | str], key: str = "id") -> DataFrame:
     """One record per id: the first by file and place."""
@@ -20,26 +22,29 @@ def split_members(records: DataFrame, group: Sequence[str]) -> DataFrame:
     return records.join(n, list(group))
 
 
-def concatenated(records: DataFrame, files: Sequence[str], gaps: bool = False) -> DataFrame:
-    """(genome, sequence): the records (file, genome, seq) of a genome joined in the order of
-    files. Without gaps only genomes found in all files; with gaps a missing file is filled
-    with ``-`` of that file's greatest length."""
-    order = F.expr("map(" + ", ".join(f"'{f}', {i}" for i, f in enumerate(files)) + ")")
-    records = records.where(F.col("file").isin(list(files)))
-    rows = records.groupBy("genome", "file").agg(F.min("seq").alias("seq"))
+def concatenated(records: DataFrame, files: Sequence[str], gaps: bool = False, order: str = "ord") -> DataFrame:
+    """(genome, sequence): all records (file, genome, seq) of a genome joined, in the order of
+    files and, within a file, by the column ``order`` and then the sequence. Without gaps only
+    genomes found in all files; with gaps a missing file is filled with ``-`` of that file's
+    greatest length. Whole records are joined; null sequences count as empty."""
+    at = F.expr("map(" + ", ".join(f"'{f}', {i}" for i, f in enumerate(files)) + ")")
+    rows = records.where(F.col("file").isin(list(files))).select("genome", at[F.col("file")].alias("o"), F.col(order).alias("ord"), F.coalesce("seq", F.lit("")).alias("seq"))
+    listed = F.array_sort(F.collect_list(F.struct("o", "ord", "seq"))).alias("parts")
+    text = lambda parts: F.array_join(F.transform(parts, lambda x: x["seq"]), "")
+    whole = rows.groupBy("genome").agg(listed)
     if not gaps:
-        whole = rows.groupBy("genome").agg(F.array_sort(F.collect_list(F.struct(order[F.col("file")].alias("o"), "seq"))).alias("parts"))
-        return whole.where(F.size("parts") == len(files)).select("genome", F.array_join(F.transform("parts", lambda x: x["seq"]), "").alias("sequence"))
-    width = records.groupBy("file").agg(F.max(F.length("seq")).alias("width"))  # a row a file
-    slots = rows.select("genome").distinct().join(F.broadcast(width))
-    filled = slots.join(rows, ["genome", "file"], "left").select("genome", order[F.col("file")].alias("o"), F.coalesce("seq", F.repeat(F.lit("-"), F.col("width"))).alias("seq"))
-    return filled.groupBy("genome").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "seq"))), lambda x: x["seq"]), "").alias("sequence"))
+        return whole.where(F.size(F.array_distinct(F.transform("parts", lambda x: x["o"]))) == len(files)).select("genome", text("parts").alias("sequence"))
+    # One row: the width of each file.
+    width = rows.agg(*[F.coalesce(F.max(F.when(F.col("o") == i, F.length("seq"))), F.lit(0)).alias(f"w{i}") for i in range(len(files))])
+    piece = lambda i: F.when(F.exists("parts", lambda x: x["o"] == i), text(F.filter("parts", lambda x: x["o"] == i))).otherwise(F.repeat(F.lit("-"), F.col(f"w{i}")))
+    return whole.join(F.broadcast(width)).select("genome", F.concat(*[piece(i) for i in range(len(files))]).alias("sequence"))
 
 
 def occurrence_names(records: DataFrame, genome: str, order: Sequence[str], name: str) -> DataFrame:
-    """Records with a name per genome: as it is for the first, ``_2``, ``_3`` ... after it."""
-    n = F.row_number().over(Window.partitionBy(genome).orderBy(*order))
-    return records.withColumn("occurrence", n).withColumn("label", F.when(F.col("occurrence") == 1, F.col(name)).otherwise(F.concat_ws("_", name, F.col("occurrence").cast("string"))))
+    """Records with a name per genome: as it is for the first, ``_2``, ``_3`` ... after it. A
+    genome of many records is numbered by as many tasks as it takes."""
+    n = numbered(records, (genome,), order, "occurrence")
+    return n.withColumn("label", F.when(F.col("occurrence") == 1, F.col(name)).otherwise(F.concat_ws("_", name, F.col("occurrence").cast("string"))))
 
 
 def top_per_group(rows: DataFrame, group: str, order: Sequence[str], most: int) -> DataFrame:

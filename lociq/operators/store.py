@@ -36,6 +36,20 @@ def replace_for(stored: DataFrame, new: DataFrame, changed: DataFrame, key: str)
     return stored.join(changed.select(key), key, "left_anti").unionByName(new)
 
 
+def rewrite_clusters(tables: dict[str, DataFrame], changed: DataFrame, members: DataFrame, names: DataFrame) -> dict[str, DataFrame]:
+    """Proteins, clusters and keywords after the blocks of the ``changed`` genomes (genomeID) were
+    found anew: ``members`` (proteinID, genomeID, clusterID), ``names`` (clusterID, keyword,
+    completeness, collinearity). A protein of these genomes in no new block has no cluster."""
+    of = changed.select("genomeID").distinct()
+    new = members.select("proteinID", F.col("clusterID").alias("_new"))
+    marked = tables["proteins"].join(of.withColumn("_in", F.lit(True)), "genomeID", "left").join(new, "proteinID", "left")
+    proteins = marked.withColumn("clusterID", F.when(F.col("_in"), F.col("_new")).otherwise(F.col("clusterID"))).select(*tables["proteins"].columns)
+    old = tables["clusters"].join(of, "genomeID", "left_semi").select("clusterID")
+    clusters = without(tables["clusters"], of, "genomeID").unionByName(members.select("clusterID", "genomeID").distinct(), allowMissingColumns=True)
+    keywords = without(tables["keywords"], old, "clusterID").unionByName(names, allowMissingColumns=True)
+    return {"proteins": proteins, "clusters": clusters.select(*tables["clusters"].columns), "keywords": keywords.select(*tables["keywords"].columns)}
+
+
 def rename_where(rows: DataFrame, column: str, old: str, new: str, only: DataFrame, key: str) -> DataFrame:
     """``column`` renamed from old to new in the rows whose key is in ``only``."""
     marked = rows.join(only.select(key).distinct().withColumn("_in", F.lit(True)), key, "left")

@@ -19,6 +19,8 @@ def session(app: str = "lociq", master: str | None = None, **conf: str) -> Spark
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # What ``cut`` wrote goes when no plan needs it any more.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for k, v in {**base, **conf}.items():
         b = b.config(k, v)

@@ -8,13 +8,23 @@ so it says which line comes first and not how many lie between.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lociq.functions.render import genome_of
 from lociq.schemas import RANKS
 
 
+def _rest(items: Column | str) -> Column:
+    """All items but the first."""
+    return F.slice(items, 2, F.size(items))
+
+
+def _numbered() -> Column:
+    """1, 2, 3 ... in file order, for dictionaries: files of a few hundred lines, written by hand."""
+    return F.row_number().over(Window.orderBy("ord"))
+
+
 def files(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
     """(path, name, stem, size) of the files below a folder, without reading them."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder).select("path", F.col("length").alias("size"))
@@ -54,15 +64,23 @@ def fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return out.select("file", "ord", F.regexp_extract("description", r"^(\S*)", 1).alias("id"), "description", "seq")
 
 
+def attribute(attributes: Column | str, tag: str) -> Column:
+    """Value of a tag in the ninth column of a feature table (``tag=value;tag=value``): the text
+    behind the first ``=`` of the first part with that tag, null without one."""
+    parts = F.transform(F.split(attributes, ";"), lambda x: F.trim(x))
+    found = F.get(F.filter(parts, lambda x: F.substring_index(x, "=", 1) == tag), F.lit(0))
+    return F.when(F.instr(found, "=") > 0, F.substring(found, len(tag) + 2, F.length(found)))
+
+
 def gff(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, id, contig, start, end, strand, locustag): one row an id and file, its last line."""
-    v = lines(spark, path).where(~F.col("value").startswith("#") & F.col("value").contains("ID="))
+    """(file, id, contig, start, end, strand, locustag): one row an id and file, its last line.
+    Ids that name a coding sequence (``cds-...``) go by what they name."""
     c = F.split("value", "\t")
     at = lambda i: F.try_element_at(c, F.lit(i))
-    whole = F.col("value")
+    v = lines(spark, path).where(~F.col("value").startswith("#"))
     rows = v.select(
-        "file", "ord", F.regexp_extract(whole, r"ID=(cds-)?(\S+?)\W?(;|$)", 2).alias("id"), at(1).alias("contig"), at(4).try_cast("int").alias("start"), at(5).try_cast("int").alias("end"),
-        at(7).alias("strand"), F.regexp_extract(F.concat(whole, F.lit("\n")), r"locus_tag=(\S*?)[\n;|]", 1).alias("locustag"),
+        "file", "ord", F.regexp_replace(attribute(at(9), "ID"), "^cds-", "").alias("id"), at(1).alias("contig"), at(4).try_cast("int").alias("start"), at(5).try_cast("int").alias("end"),
+        at(7).alias("strand"), F.coalesce(attribute(at(9), "locus_tag"), F.lit("")).alias("locustag"),
     ).where("id <> ''")
     last = F.max_by(F.struct("contig", "start", "end", "strand", "locustag"), "ord").alias("x")
     return rows.groupBy("file", "id").agg(last).select("file", "id", "x.*")
@@ -92,7 +110,7 @@ def hmmer_report(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "file", "report_ord", "query", "hit_ord", F.regexp_extract("row", score, 8).alias("hit_id"), F.regexp_extract("row", score, 1).try_cast("double").alias("evalue"),
         F.regexp_extract("row", score, 2).try_cast("double").alias("hit_score"), F.regexp_extract("row", score, 3).try_cast("double").alias("bias"),
     )
-    part = q.select("file", "report_ord", F.explode(F.slice(F.split("value", "\n>>"), 2, 1_000_000)).alias("section"))
+    part = q.select("file", "report_ord", F.explode(_rest(F.split("value", "\n>>"))).alias("section"))
     row = part.select("file", "report_ord", F.regexp_extract("section", r"^\s*(\S+)", 1).alias("hit_id"), F.explode(F.split("section", "\n")).alias("row"))
     domain = rf"^\s*(\d+)\s+[!?]\s+{number}\s+{number}\s+{number}\s+{number}\s+(\d+)\s+(\d+)\s+\S+\s+(\d+)\s+(\d+)"
     hsps = row.where(F.col("row").rlike(domain)).select(
@@ -126,19 +144,19 @@ def pattern_table(spark: SparkSession, path: str) -> DataFrame:
     """(pattern_id, keyword, genes): a pattern a line; blanks are removed, empty lines skipped.
     Ids follow the order of the file."""
     v = lines(spark, path).select("ord", F.filter(F.split(F.replace("value", F.lit(" "), F.lit("")), "\t"), lambda x: x != "").alias("p")).where(F.size("p") > 1)
-    return v.select((F.col("ord") + 1).alias("pattern_id"), F.col("p")[0].alias("keyword"), F.slice("p", 2, 1_000_000).alias("genes"))
+    return v.select(_numbered().alias("pattern_id"), F.col("p")[0].alias("keyword"), _rest("p").alias("genes"))
 
 
 def combination_table(spark: SparkSession, path: str) -> DataFrame:
     """(combo_id, features): a tab-separated combination a line."""
     v = lines(spark, path).select("ord", F.filter(F.transform(F.split("value", "\t"), lambda x: F.trim(x)), lambda x: x != "").alias("features"))
-    return v.where(F.size("features") > 0).select((F.col("ord") + 1).alias("combo_id"), "features")
+    return v.where(F.size("features") > 0).select(_numbered().alias("combo_id"), "features")
 
 
 def gtdb_lineage(taxonomy: Column | str) -> list[Column]:
     """The eight ranks of a taxonomy text like ``d__X;p__Y;...``: prefixes of three letters
     fall off; the clade, which such texts lack, is empty."""
-    part = F.transform(F.split(taxonomy, ";"), lambda x: F.substring(x, 4, 1_000_000))
+    part = F.transform(F.split(taxonomy, ";"), lambda x: F.substring(x, F.lit(4), F.length(x)))
     at = lambda i: F.coalesce(F.try_element_at(part, F.lit(i)), F.lit(""))
     return [at(1).alias("Superkingdom"), F.lit("").alias("Clade"), *[at(i + 2).alias(r) for i, r in enumerate(RANKS[2:])]]
 
@@ -188,6 +206,7 @@ def assembly_summary(spark: SparkSession, path: str) -> DataFrame:
 
 def lineages(nodes: DataFrame, names: DataFrame, wanted: DataFrame, top: str = "superkingdom", depth: int = 64) -> DataFrame:
     """(taxid, rank, name): ancestors of the wanted taxa up to rank ``top``, themselves included.
+    A walk of more than ``depth`` steps goes in a circle: an error is raised.
 
     ``nodes`` (taxid, parent, rank), ``names`` (taxid, name), ``wanted`` (taxid). All walks go
     up one level a pass; a pass joins only what hasn't arrived.
@@ -204,6 +223,8 @@ def lineages(nodes: DataFrame, names: DataFrame, wanted: DataFrame, top: str = "
         front = step.where((F.col("rank") != top) & (F.col("parent") != F.col("at"))).select("taxid", F.col("parent").alias("at"))
         if front.isEmpty():
             break
+    else:
+        raise ValueError(f"a lineage of more than {depth} steps")
     return seen.join(names.select(F.col("taxid").alias("at"), "name"), "at").select("taxid", "rank", "name")
 
 

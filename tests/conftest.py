@@ -28,6 +28,11 @@ def spark(tmp_path_factory):
     s.stop()
 
 
+@pytest.fixture(scope="session")
+def tables_dir(tables):
+    return tables
+
+
 @pytest.fixture(scope="session")
 def tables():
     d = "/root/testdata/sf0.001"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lociq.functions import render
 from lociq.ingest import build, sequence_set
 from lociq.operators import filters, matrix, sequences, store
-from lociq.sources import readers, sinks
+from lociq.sources import catalog, readers, runs, sinks, tables
 from lociq.streaming import ingest
 
 REPORT = """# search :: search profile(s) against a sequence database
@@ -91,6 +91,11 @@ def test_report(spark, inputs):
     assert readers.significant(h, 1e-10).count() == 3
 
 
+def test_attributes(spark):
+    v = spark.createDataFrame([("Parent=ID=x; ID = y",), ("xID=no;locus_tag=L 1; ID=cds-z=1",), ("",), (None,)], "v string")
+    assert [tuple(r) for r in v.select(readers.attribute("v", "ID"), readers.attribute("v", "locus_tag")).collect()] == [(None, None), ("cds-z=1", "L 1"), (None, None), (None, None)]
+
+
 def test_dictionaries(spark, inputs):
     assert rows(readers.threshold_table(spark, str(inputs / "thresholds")), "hmm", "optimized", "trusted", "noise") == [("AprM", 40.0, 100.0, 35.2), ("AsrA", 50.0, 90.0, 40.0)]
     p = readers.pattern_table(spark, str(inputs / "patterns"))
@@ -140,6 +145,8 @@ def test_lineages(spark):
     out = readers.lineages(nodes, names, spark.createDataFrame([(4,), (3,), (9,)], "taxid int"))
     assert rows(out, "taxid", "rank", "name") == [(3, "phylum", "P"), (3, "superkingdom", "B"), (4, "phylum", "P"), (4, "species", "s"), (4, "superkingdom", "B")]
     assert {r.taxid: r.phylum for r in readers.by_rank(out).collect()} == {3: "P", 4: "P"}
+    with pytest.raises(ValueError):
+        readers.lineages(spark.createDataFrame([(1, 2, "x"), (2, 1, "x")], "taxid int, parent int, rank string"), names, spark.createDataFrame([(1,)], "taxid int"), depth=5)
 
 
 def test_tables_out_of_files(spark, inputs):
@@ -149,6 +156,93 @@ def test_tables_out_of_files(spark, inputs):
     assert rows(t["keywords"], "clusterID", "keyword", "completeness", "collinearity") == [("G1_1", "apr", 1.0, True)]
 
 
+def test_rescued_hit_has_the_score_of_its_best_part(spark, inputs):
+    """AsrA of p2 falls below the cutoff; the block of p1 and p2 (named by AprM of both) lacks it."""
+    (inputs / "thresholds").write_text("AprM\t20\t100\t35.2\nAsrA\t90\t90\t40\n")
+    (inputs / "reports/G1.1.txt").write_text(REPORT.replace("3.0e-20   80.0   0.0    3.0e-20   80.0", "3.0e-20   80.0   0.0    3.0e-20   77.0").replace("1 !   80.0", "1 !   77.0"))
+    (inputs / "patterns").write_text("apr\tAprM\tAsrA\tX\n")
+    args = (spark, *(str(inputs / x) for x in ("reports", "features", "proteins", "thresholds", "patterns")))
+    known = build(*args, least=0.3)
+    assert rows(known["domains"], "proteinID", "domain", "score") == [("G1-p1", "AprM", 105), ("G1-p2", "AprM", 30), ("G1-p2", "AsrA", 77)]
+    assert rows(build(*args, least=0.3, complete=False)["domains"], "domain", "score") == [("AprM", 30), ("AprM", 105)]
+    n = known["keywords"].first()
+    assert (n.keyword, round(n.completeness, 3)) == ("apr", 0.333)  # p2 is a fusion now and no gene of a pattern
+
+
+def test_store_answers_queries_from_its_files(spark, inputs, tmp_path):
+    """Tables built from files are stored and queried; predicates reach the scan."""
+    from lociq.__main__ import run
+    from lociq.plans import fetch, fetch_queries, gene_queries, output_queries, record_queries
+
+    out = str(tmp_path / "store")
+    run(spark, ["build", *(str(inputs / x) for x in ("reports", "features", "proteins", "thresholds", "patterns")), out, "--log", str(tmp_path / "log")])
+    assert tables.is_store(spark, out) and rows(readers.processed(spark, str(tmp_path / "log")), "genomeID") == [("G1",)]
+    assert rows(gene_queries.int1_overlap_fold(spark, out), "proteinID", "domain", "score") == [("G1-p1", "AprM", 105), ("G1-p2", "AsrA", 80)]
+    hit = gene_queries.snk1_hit_table(spark, out).collect()
+    assert [(h.proteinID, h.arch, h.keywords, h.completeness, h.csb, h.lineage) for h in hit] == [(f"G1-p{i}", a, "apr", "1.0", "1", "_".join(["NULL"] * 8)) for i, a in ((1, "AprM"), (2, "AsrA"))]
+    assert rows(fetch_queries.jn4_keywords_of_genomes(spark, out), "keyword", "genomeID") == [("apr", "G1")]
+    assert rows(fetch_queries.agg2_domain_counts(spark, out), "domain", "n") == [("AprM", 1), ("AsrA", 1)]
+    assert record_queries.p1_found(spark, out).count() == 0
+    assert rows(output_queries.prj7_header_tokens(spark, out), "id", "keywords") == [("G1-G1-p1", "apr"), ("G1-G1-p2", "apr")]
+    assert rows(fetch.fetch(spark, out, domains=["sra"]), "proteinID") == [("G1-p2",)]
+    plan = lambda q: q(spark, out)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(dom_count,1)" in plan(fetch_queries.flt12_multi_domain) and "Exchange" not in plan(fetch_queries.flt12_multi_domain)
+    for more in (["redo", out, str(inputs / "patterns"), str(tmp_path / "again")], ["redo", out, str(inputs / "patterns"), str(tmp_path / "names"), "--names-only"], ["compact", out, str(tmp_path / "copy")]):
+        run(spark, more)
+        assert rows(gene_queries.snk1_hit_table(spark, more[-1] if more[-1][0] == "/" else more[-2]), "proteinID", "clusterID", "keywords", "csb") == [(f"G1-p{i}", "G1_1", "apr", "1") for i in (1, 2)]
+    run(spark, ["delete", out, str(tmp_path / "less"), "--proteins", "G1-p1"])
+    assert rows(fetch_queries.jn1_left_join(spark, str(tmp_path / "less")), "proteinID", "domain") == [("G1-p2", "AsrA")]
+    run(spark, ["delete", out, str(tmp_path / "none"), "--genomes", "G1"])
+    assert fetch_queries.jn1_left_join(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_filters_of_raw_tables_reach_the_scan(spark, tables_dir):
+    from lociq.plans import fetch_queries
+
+    for q, predicate in ((fetch_queries.flt12_multi_domain, "GreaterThan(dom_count,1)"), (fetch_queries.flt3_or_ilike_domain, "wexa")):
+        plan = q(spark, tables_dir)._jdf.queryExecution().executedPlan().toString()
+        at = plan.rindex(predicate) if predicate in plan else plan.lower().rindex(predicate)
+        assert plan[at:].count("Exchange") == 0, plan  # nothing is shuffled below it
+        assert "sequence" not in plan
+
+
+def test_commands(spark, inputs, tmp_path, tables_dir, capsys):
+    from lociq.__main__ import run
+
+    out = str(tmp_path / "f")
+    run(spark, ["fetch", tables_dir, out, "--domain", "Drai", "--keyword", "mt", "ox", "--limit-rank", "Superkingdom", "bacteria"])
+    hits = spark.read.option("sep", "\t").option("header", True).csv(f"{out}/hits")
+    assert hits.count() > 0 and hits.where("arch LIKE '%Drai%'").count() == hits.count() and hits.where("keywords IS NULL").count() < hits.count()
+    records = readers.fasta(spark, f"{out}/architectures")
+    assert records.count() > 0 and records.where("id NOT LIKE '%-%'").count() == 0
+    assert spark.read.text(f"{out}/keywords").count() > 0
+    run(spark, ["dataset", tables_dir, f"{out}/d", "--domain", "BruaN", "PhooI", "--fusion", "BruaN+PhooI", "--in-block", "SteoI", "mt", "--combine", "2"])
+    m = spark.read.option("sep", "\t").option("header", True).csv(f"{out}/d/matrix")
+    assert m.columns[:5] == ["genomeID", "BruaN", "PhooI", "BruaN+PhooI", "SteoI@mt"] and len(m.columns) == 10
+    run(spark, ["stats", tables_dir, "--out", f"{out}/s"])
+    assert "Domains" in capsys.readouterr().out and spark.read.option("sep", "\t").option("header", True).csv(f"{out}/s/Species").count() > 0
+    (tmp_path / "h.faa").write_text(">NC_2_7 # 10 # 90 # 1 # ID=1_7\nMK\n")
+    run(spark, ["features", str(tmp_path / "h.faa"), str(tmp_path / "g")])
+    assert rows(readers.gff(spark, str(tmp_path / "g")), "id", "contig", "start", "end", "strand") == [("NC_2_7", "NC_2", 10, 90, "+")]
+    cols = "genomeID superkingdom clade phylum class order family genus species strain taxid biosample bioproject genbank refseq completeness contamination typestrain".split()
+    g = catalog.genomes(spark, tables_dir).orderBy("genomeID").first().genomeID
+    (tmp_path / "c.tsv").write_text("\t".join(cols) + "\n" + "\t".join([g, "B", "", "New", "C", "O", "F", "G", "s", "S", "7", "", "", "", "", "9.5", "1", "yes"]) + "\n")
+    run(spark, ["taxonomy", tables_dir, "custom", str(tmp_path / "c.tsv"), str(tmp_path / "t")])
+    assert rows(catalog.genomes(spark, str(tmp_path / "t")).where("Phylum = 'New'"), "genomeID", "NCBITaxon") == [(g, 7)]
+
+
+def test_result_folders(spark, tmp_path):
+    from datetime import datetime
+
+    at = datetime(2024, 1, 2, 3, 4, 5)
+    a, b = (runs.result_folder(spark, str(tmp_path), at=at) for _ in range(2))
+    assert a.endswith("run_2024-01-02_03-04-05") and b == a + "_2"
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x/part-1").write_text("")
+    (tmp_path / "x/part-2").write_text("a")
+    assert sinks.remove_empty(spark, str(tmp_path / "x")) == 1 and (tmp_path / "x/part-2").exists()
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([("a", "A", "MK*"), ("b", "B-A", "LL")], "id string, arch string, seq string")
     sinks.write_fasta(df, str(tmp_path / "f"), ["id", "arch"], by="arch")
@@ -161,7 +255,10 @@ def test_writers(spark, tmp_path):
     assert line.first().line == "g_" + "_".join("r" * 8) + "\t1\t0"
     sinks.write_dataset(line, str(tmp_path / "d"), sinks.binary_header(["x", "y"]))
     head = [r[0] for r in spark.read.text(str(tmp_path / "d/header")).collect()]
-    assert len(head) == 14 and head[0] == "DATASET_BINARY" and "FIELD_LABELS\tx\ty" in head
+    # Every line but the first and the last is a setting and its values, all under one separator.
+    assert head[0] == "DATASET_BINARY" and head[1] == "SEPARATOR TAB" and head[-1] == "DATA" and "FIELD_LABELS\tx\ty" in head and "FIELD_SHAPES\t2\t2" in head
+    assert all("\t" in x and "," not in x for x in head[2:-1])
+    assert "LEGEND_TITLE\tmine" in sinks.binary_header(["x"], legend="mine") and sinks.symbol_header()[0] == "DATASET_SYMBOL" and sinks.domain_header()[-1] == "DATA"
     assert [sinks.color(s) for s in (0, 42, 84)] == ["#c53edf", "#390062", "#913274"]
     c = {r.label: r.color for r in sinks.colors(df.withColumn("o", F.monotonically_increasing_id()), "arch", ["o"]).collect()}
     assert c == {"A": "#c53edf", "B-A": "#390062"}
@@ -186,9 +283,9 @@ def test_matrix_keeps_zeros(spark):
 def test_sequence_sets(spark):
     r = spark.createDataFrame([("x", 2, "B"), ("x", 1, "A"), ("y", 1, "C")], "id string, ord int, seq string")
     assert rows(sequences.merge_first(r, ["ord"]), "id", "seq") == [("x", "A"), ("y", "C")]
-    m = spark.createDataFrame([("f", "g", "AA"), ("h", "g", "B"), ("f", "k", "CC")], "file string, genome string, seq string")
-    assert rows(sequences.concatenated(m, ["h", "f"]), "*") == [("g", "BAA")]
-    assert rows(sequences.concatenated(m, ["h", "f"], gaps=True), "*") == [("g", "BAA"), ("k", "-CC")]
+    m = spark.createDataFrame([("f", 2, "g", "AA"), ("f", 1, "g", "CCCC"), ("h", 1, "g", "E"), ("f", 3, "k", "CC")], "file string, ord int, genome string, seq string")
+    assert rows(sequences.concatenated(m, ["f", "h"]), "*") == [("g", "CCCCAAE")]
+    assert rows(sequences.concatenated(m, ["h", "f"], gaps=True), "*") == [("g", "ECCCCAA"), ("k", "-CC")]
     n = spark.createDataFrame([("g", 1), ("g", 2), ("g", 3), ("h", 1)], "g string, o int")
     assert rows(sequences.occurrence_names(n, "g", ["o"], "g"), "label") == [("g",), ("g_2",), ("g_3",), ("h",)]
 
@@ -212,19 +309,28 @@ def test_predicates(spark):
     assert spark.range(1).select(render.genome_of(F.lit("a.b"))).first()[0] == "a"
 
 
-def test_stream_stores_each_genome_once(spark, tmp_path):
-    def put(i, genomes):
-        r = [(f"{g}-p", g, None, None, "c", 1, 2, "+", 1, "MK") for g in genomes]
-        from lociq.schemas import PROTEINS
+@pytest.mark.parametrize("per_batch", [1, 1000])
+def test_stream_keeps_all_rows_of_a_genome(spark, tmp_path, per_batch):
+    """A genome whose files fall into several batches loses nothing; of a protein stored twice the first row stays whole."""
+    from lociq.schemas import DOMAINS, PROTEINS
 
+    def put(*proteins):
+        r = [(f"{g}-{p}", g, None, tag, "c", 1, 2, "+", 1, None if tag == "old" else "MK", None) for g, p, tag in proteins]
         spark.createDataFrame(r, PROTEINS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
 
-    put(0, ["a", "b"])
-    for more in (["b", "c"], []):
-        ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-        if more:
-            put(1, more)
-    assert rows(ingest.stored(spark, str(tmp_path / "out")), "proteinID") == [("a-p",), ("b-p",), ("c-p",)]
+    put(("a", "p", "old"))
+    put(("a", "q", "x"), ("b", "p", "x"))
+    go = lambda: ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), files_per_batch=per_batch).awaitTermination()
+    go()
+    put(("b", "r", "x"), ("a", "p", "new"))
+    go()
+    go()
+    assert rows(ingest.stored(spark, str(tmp_path / "out")), "proteinID", "locustag") == [("a-p", "old"), ("a-q", "x"), ("b-p", "x"), ("b-r", "x")]
+    assert ingest.stored(spark, str(tmp_path / "out")).where("proteinID = 'a-p'").first().sequence is None
+    assert ingest.stored(spark, str(tmp_path / "out"), latest=True).where("proteinID = 'a-p'").first().locustag == "new"
+    spark.createDataFrame([(1, "a-p", "X", 5, 1, 9), (1, "a-p", "X", 5, 1, 9), (2, "a-p", "Y", 5, 1, 9)], DOMAINS).write.parquet(str(tmp_path / "din"))
+    ingest.ingest(spark, str(tmp_path / "din"), str(tmp_path / "dout"), str(tmp_path / "dcheck"), "domains").awaitTermination()
+    assert rows(ingest.stored(spark, str(tmp_path / "dout"), "domains"), "domain") == [("X",), ("Y",)]
     t = spark.sql("SELECT timestamp_ntz'2024-01-05 00:00:00' AS loaded_at")
     assert ingest.arrivals(t).first().n == 1
 
@@ -238,5 +344,5 @@ def test_sequence_files(spark, tmp_path):
     assert rows(run("filter", limits=(2, 4)), "id") == [("k-1",)]
     assert rows(run("singletons"), "id") == [("g-1",), ("h-1",), ("h-2",), ("k-1",)]
     assert rows(run("duplicates"), "id") == [("g-1",), ("g-2",)]
-    assert rows(run("concat"), "genome", "seq") == [("g", "AAEE"), ("h", "DDHH")]
-    assert rows(run("concat-gaps"), "genome", "seq") == [("g", "AAEE"), ("h", "DDHH"), ("k", "----FFF")]
+    assert rows(run("concat"), "genome", "seq") == [("g", "AACCCCEE"), ("h", "DDHH")]
+    assert rows(run("concat-gaps"), "genome", "seq") == [("g", "AACCCCEE"), ("h", "DDHH"), ("k", "----FFF")]

@@ -2,11 +2,11 @@
 
 import pytest
 
-from lociq.plans import fetch_queries, gene_queries, output_queries, record_queries
+from lociq.plans import fetch, fetch_queries, gene_queries, output_queries, record_queries
 from tests.oracle import check
 
-PLANS = [gene_queries, fetch_queries, output_queries, record_queries]
-NAMES = [(p, n) for p in PLANS for n in p.QUERIES]
+PLANS = [gene_queries, fetch_queries, output_queries, record_queries, fetch]
+NAMES = [(p, n) for p in PLANS for n in p.ORACLE]
 
 
 @pytest.mark.parametrize("plan,name", NAMES, ids=[n for _, n in NAMES])

@@ -3,13 +3,13 @@
 from lociq.plans import fetch_queries, output_queries
 from lociq.sources import catalog
 
-GENES = [("BruaN", "g", "g-1", "M" * 70), ("PhooI", "g", "g-2", "K" * 45), ("ZmoJ", "g", "g-3", "L" * 100), ("BruaN", "h", "h-1", "A" * 90), ("ZmoJ", "h", "h-2", "C" * 31), ("SteoI", "k", "k-1", "D" * 50)]
+GENES = [(1, "BruaN", "g", "g-1", "M" * 70), (2, "PhooI", "g", "g-2", "K" * 45), (3, "ZmoJ", "g", "g-3", "L" * 100), (4, "BruaN", "h", "h-1", "A" * 90), (5, "ZmoJ", "h", "h-2", "C" * 31), (6, "SteoI", "k", "k-1", "D" * 50), (7, "BruaN", "g", "g-4", "E" * 40)]
 
 
 def test_markers_are_joined_whole(spark, monkeypatch):
-    df = spark.createDataFrame(GENES, "domain string, genomeID string, proteinID string, sequence string")
+    df = spark.createDataFrame(GENES, "ID int, domain string, genomeID string, proteinID string, sequence string")
     monkeypatch.setattr(fetch_queries, "_genes_with_domains", lambda *_: df)
-    whole = {"g": "M" * 70 + "K" * 45 + "L" * 100}
+    whole = {"g": "M" * 70 + "E" * 40 + "K" * 45 + "L" * 100}
     assert dict(map(tuple, fetch_queries.jn16_concat_inner(spark, "").collect())) == whole
     assert dict(map(tuple, fetch_queries.jn16_concat_gapfill(spark, "").collect())) == whole | {"h": "A" * 90 + "-" * 45 + "C" * 31}
 
