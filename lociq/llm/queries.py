@@ -67,6 +67,14 @@ def p8_usage(spark: SparkSession, d: str) -> DataFrame:
     return packing.usage(_packed(spark, d), table(spark, d, "packspecs"))
 
 
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What the containers must keep: every document there, none beyond its capacity, none cut
+    without need, no token astray."""
+    docs, specs = table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "packspecs")
+    sizes = bpe.with_counts(docs, "text", "size").select("doc_id", "size")
+    return packing.violations(_packed(spark, d), sizes, specs, "doc_id", "size")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return garbled.garbled(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"))
 
@@ -78,7 +86,7 @@ def p9_restored(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_shared_share": p3_shared_share,
     "p6_found": p6_found, "p6_pairs": p6_pairs, "p7_ids": p7_ids,
-    "p8_containers": p8_containers, "p8_usage": p8_usage, "p9_found": p9_found, "p9_restored": p9_restored,
+    "p8_containers": p8_containers, "p8_usage": p8_usage, "p8_invariants": p8_invariants, "p9_found": p9_found, "p9_restored": p9_restored,
 }
 
 _SEQ = """
@@ -124,6 +132,7 @@ SELECT proteinID, class_id, coalesce(group_id, class_id) AS group_id, coalesce(l
     "p3_shared_share": _SHARED3 + """
 SELECT proteinID, max(length(s)) AS letters, CAST(coalesce(any_value(shared), 0) AS BIGINT) AS shared, round(CASE WHEN max(length(s)) > 0 THEN coalesce(any_value(shared), 0) / max(length(s)) ELSE 0.0 END, 6) AS share
 FROM seq LEFT JOIN (SELECT proteinID, sum(span_end - span_start + 1) AS shared FROM span GROUP BY 1) USING (proteinID) GROUP BY proteinID""",
+    "p8_invariants": "SELECT spec_id, capacity, (SELECT count(*) FROM documents) AS items, 0 AS over_capacity, 0 AS cut_needlessly, 0 AS tokens_astray FROM packspecs",
     "p6_found": _BLOCKS6 + "SELECT domain_a, domain_b FROM pair WHERE k >= 3 AND 200 * k >= n_blocks AND k * n_blocks >= 3 * n_a * n_b",
     "p6_pairs": _BLOCKS6 + "SELECT domain_a, domain_b, k, n_a, n_b, n_blocks, round(k * n_blocks / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift FROM pair",
 }
