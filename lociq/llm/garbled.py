@@ -3,22 +3,25 @@
 Noisy channel. A word that holds characters beyond ASCII may be what somebody wrote, or what a
 wrong codec made of other bytes. For every channel (written as, read as) the word is turned
 back into a byte lattice, in which a lost byte (``?`` or U+FFFD) is a wildcard, and a Viterbi
-search finds the likeliest characters under the corpus's own letter pairs. What it proposes is
-held against the corpus word frequencies: the restored word has to be the likelier one. For a
-swap of codecs the words of a document speak together, channel by channel; what that explains is
-taken out of the counts, and the words are weighed again.
-
-Corpus statistics are taken over all documents. Word counts stay a distributed table. Only the
-letter pairs are broadcast, as hashed counters of a fixed size.
+search finds the likeliest ways through it under the corpus's word frequencies, which fall back
+on its letter pairs for words that it doesn't know. What it proposes is held against exact word
+counts: the restored word has to be the likelier one. For a swap of codecs the words of a
+document speak together, channel by channel; what that explains is taken out of the counts, and
+the words are weighed again.
+
+Corpus statistics are taken over all documents. Word counts stay a distributed table. Only
+counters of a fixed number are broadcast: letter pairs, and a sketch of the word frequencies.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from heapq import nlargest
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,7 @@ SWAPPED = (
     ("shift_jis", "cp1252"), ("shift_jis", "latin-1"), ("euc_jp", "cp1252"), ("euc_jp", "latin-1"), ("iso8859-5", "cp1252"), ("iso8859-5", "latin-1"),
 )
 LOST = "�"
-PAIRS, SINGLES = 1 << 20, 1 << 16
+PAIRS, SINGLES, WORDS = 1 << 20, 1 << 16, 1 << 19
 _WORD = regex.compile(r"[A-Za-z]*(?:[^\x00-\x7f]+\?*[A-Za-z]*)+")
 _EDGE = "\x02"
 
@@ -59,11 +62,19 @@ def _slots(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((a * np.uint64(0x9E3779B1) ^ b * np.uint64(0x85EBCA6B)) % np.uint64(0xFFFFFFFB) & np.uint64(PAIRS - 1)).astype(np.int64), (a % np.uint64(SINGLES)).astype(np.int64)
 
 
+def _word_slots(word: str) -> tuple[int, int]:
+    h = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+    return h & (WORDS - 1), (h * 0x9E3779B1 & 0xFFFFFFFF) >> 13
+
+
 class Letters:
-    """Log probabilities of letter pairs, from hashed counters."""
+    """Log probabilities of letter pairs and of words, from hashed counters. A word's count is
+    the lesser of its two counters, less what an even spread puts in each."""
 
-    def __init__(self, pairs: np.ndarray, singles: np.ndarray):
+    def __init__(self, pairs: np.ndarray, singles: np.ndarray, words: np.ndarray | None = None):
         self.pairs, self.singles = pairs, singles
+        self.words = np.zeros(2 * WORDS, np.int64) if words is None else words
+        self.n_words = float(self.words[:WORDS].sum())
         self.total = float(singles.sum()) + 1
         self.cost = lru_cache(200_000)(self._cost)
 
@@ -78,12 +89,19 @@ class Letters:
         return self.singles[ord(c) % SINGLES] > 0
 
     def score(self, word: str) -> float:
+        """By letter pairs alone."""
         at, s = _EDGE, 0.0
         for c in word:
             s += self.cost(at, c)
             at = c
         return s + self.cost(at, _EDGE)
 
+    def likely(self, word: str, unknown: float = 0.05) -> float:
+        """By the word's frequency; a share ``unknown`` of all words is left to letter pairs."""
+        i, j = _word_slots(word)
+        n = max(0.0, min(float(self.words[i]), float(self.words[WORDS + j])) - self.n_words / WORDS)
+        return math.log((1 - unknown) * n / (self.n_words + 1) + unknown * math.exp(max(self.score(word), -600.0)))
+
 
 @lru_cache(64)
 def _bytes_of(codec: str) -> dict[str, int]:
@@ -109,22 +127,16 @@ def _sequence(lattice: list[int | None], i: int) -> int:
     return n if len(rest) == n - 1 and all(x is None or 0x80 <= x <= 0xBF for x in rest) else 0
 
 
-@lru_cache(100_000)
-def _readings(part: tuple[int | None, ...]) -> tuple[str, ...]:
-    """Characters that a UTF-8 sequence with wildcards may stand for."""
-    first, *rest = part
-    out = [bytes([first])]
-    for x in rest:
-        out = [o + bytes([y]) for o in out for y in ([x] if x is not None else range(0x80, 0xC0))]
-        if len(out) > 4096:
-            return ()
-    found = []
-    for o in out:
-        try:
-            found.append(o.decode("utf-8"))
-        except UnicodeDecodeError:
-            pass
-    return tuple(found)
+def _readings(part: tuple[int | None, ...], letters: Letters) -> tuple[str, ...]:
+    """Characters that the corpus knows and a UTF-8 sequence with wildcards may stand for: all of
+    them, however many bytes were lost."""
+    n = len(part)
+    at = np.array([part[0] & (0x1F, 0x0F, 0x07)[n - 2]], np.int64)
+    for x in part[1:]:
+        at = (at[:, None] << 6 | (np.arange(64) if x is None else np.array([x & 0x3F]))[None]).ravel()
+    least = (0x80, 0x800, 0x10000)[n - 2]
+    at = at[(at >= least) & (at <= 0x10FFFF) & ((at < 0xD800) | (at > 0xDFFF))]
+    return tuple(map(chr, at[letters.singles[at % SINGLES] > 0].tolist()))
 
 
 @lru_cache(64)
@@ -137,53 +149,35 @@ def _shape(codec: str) -> regex.Pattern:
     return regex.compile("|".join(f"[{some(lo, hi)}]{tail}{{{n}}}" for lo, hi, n in kinds if some(lo, hi)))
 
 
-def undo_utf8(word: str, codec: str, letters: Letters) -> str | None:
+def undo_utf8(word: str, codec: str, letters: Letters, paths: int = 4) -> str | None:
     """The likeliest word whose UTF-8 bytes, read by ``codec``, give ``word``; None if no part
-    of it can be read so. Characters that fit no sequence stay. A sequence without a wildcard
-    must stand for a character that the corpus knows."""
+    of it can be read so. Characters that fit no sequence stay. A sequence must stand for a
+    character that the corpus knows.
+
+    The search keeps the ``paths`` best ways by letter pairs to each possible last character, and
+    word frequencies decide among what comes through; with 1 it is a plain Viterbi search.
+    """
     if not _shape(codec).search(word):
         return None
     table = _bytes_of(codec)
     lattice: list[int | None] = [None if c in "?" + LOST else table.get(c, -1) for c in word]
-    n = len(word)
-    steps: list[tuple[int, tuple[str, ...]]] = []  # (size, characters) at each place
-    some, open_ = False, False
-    for i in range(n):
+    steps: list[tuple[str, ...]] = []  # what each place of the restored word may be
+    i, some = 0, False
+    while i < len(word):
         size = _sequence(lattice, i) if lattice[i] is not None and lattice[i] > 0 else 0
-        options = _readings(tuple(lattice[i : i + size])) if size else ()
-        options = tuple(c for c in options if letters.known(c))
+        options = _readings(tuple(lattice[i : i + size]), letters) if size else ()
         some |= bool(options)
-        open_ |= len(options) > 1
-        steps.append((size, options) if options else (1, (word[i],)))
+        steps.append(options or (word[i],))
+        i += size if options else 1
     if not some:
         return None
-    if not open_:  # one way through the lattice
-        out, i = [], 0
-        while i < n:
-            size, options = steps[i]
-            out.append(options[0])
-            i += size
-        return "".join(out)
-    # Viterbi: the states at a place are the possible last characters.
-    states: list[dict[str, tuple[float, str | None, int]]] = [{} for _ in range(n + 1)]
-    states[0][_EDGE] = (0.0, None, 0)
-    for i in range(n):
-        if not states[i]:
-            continue
-        size, options = steps[i]
-        ways = [(p, s) for p, (s, _, _) in states[i].items()]
-        to = states[i + size]
-        for c in options:
-            s, back = max((s + letters.cost(p, c), p) for p, s in ways)
-            if c not in to or s > to[c][0]:
-                to[c] = (s, back, i)
-    at, c = n, max(states[n], key=lambda x: states[n][x][0] + letters.cost(x, _EDGE))
-    out = []
-    while c != _EDGE:
-        out.append(c)
-        _, back, i = states[at][c]
-        at, c = i, back
-    return "".join(reversed(out))
+    if all(len(x) == 1 for x in steps):  # one way through the lattice
+        return "".join(x[0] for x in steps)
+    # Viterbi: the states at a place are the possible last characters, with the best ways there.
+    states: dict[str, list[tuple[float, str]]] = {_EDGE: [(0.0, "")]}
+    for options in steps:
+        states = {c: nlargest(paths, ((s + letters.cost(p, c), t + c) for p, ways in states.items() for s, t in ways)) for c in options}
+    return max((t for ways in states.values() for _, t in ways), key=lambda t: (letters.likely(t), t))
 
 
 def undo_swap(word: str, written: str, read: str) -> str | None:
@@ -207,16 +201,20 @@ def undo_swap(word: str, written: str, read: str) -> str | None:
         return None
 
 
-def proposals(word: str, letters: Letters, depth: int = 3) -> list[tuple[str, str, int, float]]:
+def proposals(word: str, letters: Letters, depth: int | None = None, width: int | None = None) -> list[tuple[str, str, int, float]]:
     """(restored, kind, channel, gain) for a word: ``utf8`` where its bytes are valid UTF-8 under
     some codec; else, for every pair of codecs that makes another word of known letters, ``swap``,
-    or ``sure`` where that is likelier beyond doubt (e^20 times). Damage done twice is undone twice."""
+    or ``sure`` where that is likelier beyond doubt (e^20 times). Damage done twice is undone twice.
+
+    Undoing goes on until nothing new comes up, on every word of a round; ``depth`` and ``width``
+    bound the rounds and the words taken on from each, where time matters more.
+    """
     own = letters.score(word)
-    out: dict[str, str] = {}
-    level, done = [word], {word}
-    for _ in range(depth):
+    out: dict[str, float] = {}
+    level, done, rounds = [word], {word}, 0
+    while level and rounds != depth:
         # A word that was garbled twice may look no better halfway, so the way on is open to
-        # the best few of each round, and the outcome is held against the word as it stands.
+        # all of a round, and the outcome is held against the word as it stands.
         further: dict[str, float] = {}
         for w in level:
             for codec in READ_AS:
@@ -225,12 +223,11 @@ def proposals(word: str, letters: Letters, depth: int = 3) -> list[tuple[str, st
                     done.add(c)
                     further[c] = s = letters.score(c)
                     if s > own:
-                        out[c] = "utf8"
-        level = sorted(further, key=lambda c: (-further[c], c))[:4]
-        if not level:
-            break
+                        out[c] = s - own
+        level = sorted(further, key=lambda c: (-further[c], c))[:width]
+        rounds += 1
     if out:
-        return [(c, kind, -1, letters.score(c) - own) for c, kind in sorted(out.items(), key=lambda x: -letters.score(x[0]))[:4]]
+        return [(c, "utf8", -1, gain) for c, gain in sorted(out.items(), key=lambda x: (-x[1], x[0]))]
     swaps = []
     for k, (written, read) in enumerate(SWAPPED):
         c = undo_swap(word, written, read)
@@ -258,33 +255,37 @@ def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def letter_pairs(counts: DataFrame) -> Letters:
-    """The letter-pair model of a word table. What reaches the driver is at most one number a
-    counter, however large the corpus."""
+    """The model of a word table: letter pairs and the sketch of its frequencies. What reaches
+    the driver is at most one number a counter, however large the corpus."""
 
     def run(batches):
-        pairs, singles = np.zeros(PAIRS, np.int64), np.zeros(SINGLES, np.int64)
+        pairs, singles, words = np.zeros(PAIRS, np.int64), np.zeros(SINGLES, np.int64), np.zeros(2 * WORDS, np.int64)
         for b in batches:
             for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 p, s = _slots(np.frombuffer((_EDGE + w + _EDGE).encode("utf-32-le", "surrogatepass"), np.uint32))
                 np.add.at(pairs, p, n)
                 np.add.at(singles, s, n)
-        at = np.concatenate([np.nonzero(pairs)[0], np.nonzero(singles)[0] + PAIRS])
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.concatenate([pairs, singles])[at])], names=["slot", "n"])
+                i, j = _word_slots(w)
+                words[i] += n
+                words[WORDS + j] += n
+        whole = np.concatenate([pairs, singles, words])
+        at = np.nonzero(whole)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(whole[at])], names=["slot", "n"])
 
     rows = counts.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    both = np.zeros(PAIRS + SINGLES, np.int64)
-    both[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
-    return Letters(both[:PAIRS], both[PAIRS:])
+    whole = np.zeros(PAIRS + SINGLES + 2 * WORDS, np.int64)
+    whole[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return Letters(whole[:PAIRS], whole[PAIRS : PAIRS + SINGLES], whole[PAIRS + SINGLES :])
 
 
 _MODELS: dict[int, Letters] = {}
 
 
 class _Model:
-    """A broadcast letter-pair model, put together once in each worker."""
+    """A broadcast model, put together once in each worker."""
 
     def __init__(self, sc, letters: Letters):
-        self.data = sc.broadcast((letters.pairs, letters.singles))
+        self.data = sc.broadcast((letters.pairs, letters.singles, letters.words))
         self.id = int(letters.pairs.sum()) ^ int(np.bitwise_xor.reduce(letters.pairs * np.arange(1, PAIRS + 1)))
 
     def get(self) -> Letters:
