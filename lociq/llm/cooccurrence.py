@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociq.session import cut
+
 
 def _pairs_within(items: str) -> Column:
     return F.expr(f"flatten(transform({items}, (x, i) -> transform(slice({items}, i + 2, size({items})), y -> struct(x AS a, y AS b))))")
@@ -51,7 +53,8 @@ def associations(rows: DataFrame, basket: Column, item: Column, min_baskets: int
     An item in fewer baskets than a pair needs can't be in a kept pair, so it is left out
     before pairs are built; the counts n_a, n_b and n are taken over everything.
     """
-    distinct = rows.select(basket.alias("basket"), item.alias("item")).where("basket IS NOT NULL AND item IS NOT NULL").distinct()
+    # Read three times below; the rows before it are joined and made distinct once.
+    distinct = cut(rows.select(basket.alias("basket"), item.alias("item")).where("basket IS NOT NULL AND item IS NOT NULL").distinct())
     per_item = distinct.groupBy("item").agg(F.count(F.lit(1)).alias("m"))
     n = distinct.select("basket").distinct().agg(F.count(F.lit(1)).alias("n"))
     need = F.greatest(F.lit(min_baskets).cast("decimal(20,0)"), F.lit(min_share).cast("decimal(10,8)") * F.col("n"))

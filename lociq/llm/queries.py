@@ -46,7 +46,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
-    a = cooccurrence.associations(_domain_rows(spark, d), F.col("block"), F.col("item"))
+    """All pairs in at least three blocks, with counts and lift."""
+    a = cooccurrence.associations(_domain_rows(spark, d), F.col("block"), F.col("item"), min_baskets=3)
     return a.select(F.col("a").alias("domain_a"), F.col("b").alias("domain_b"), "k", "n_a", "n_b", F.col("n").alias("n_blocks"), F.round("lift", 6).alias("lift"))
 
 
@@ -134,5 +135,5 @@ SELECT proteinID, max(length(s)) AS letters, CAST(coalesce(any_value(shared), 0)
 FROM seq LEFT JOIN (SELECT proteinID, sum(span_end - span_start + 1) AS shared FROM span GROUP BY 1) USING (proteinID) GROUP BY proteinID""",
     "p8_invariants": "SELECT spec_id, capacity, (SELECT count(*) FROM documents) AS items, 0 AS over_capacity, 0 AS cut_needlessly, 0 AS tokens_astray FROM packspecs",
     "p6_found": _BLOCKS6 + "SELECT domain_a, domain_b FROM pair WHERE k >= 3 AND 200 * k >= n_blocks AND k * n_blocks >= 3 * n_a * n_b",
-    "p6_pairs": _BLOCKS6 + "SELECT domain_a, domain_b, k, n_a, n_b, n_blocks, round(k * n_blocks / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift FROM pair",
+    "p6_pairs": _BLOCKS6 + "SELECT domain_a, domain_b, k, n_a, n_b, n_blocks, round(k * n_blocks / (CAST(n_a AS DOUBLE) * n_b), 6) AS lift FROM pair WHERE k >= 3",
 }
