@@ -244,7 +244,7 @@ def fit_topics(items: DataFrame, id_col: str, text_col: str, count: int, sample:
     return Topics(np.frombuffer(b"".join(sorted(rows)), np.float32).reshape(-1, width).copy(), topics)
 
 
-def pack(items: DataFrame, specs: DataFrame, id_col: str, text_col: str, size_col: str, shard_items: int = 16_384, shard_letters: int = 32_000_000, topics: int = 64, sample: int = 4096) -> DataFrame:
+def pack(items: DataFrame, specs: DataFrame, id_col: str, text_col: str, size_col: str, shard_items: int = 12_288, shard_letters: int = 16_000_000, topics: int = 64, sample: int = 4096, source: DataFrame | None = None) -> DataFrame:
     """(spec_id, id, piece, container, tokens): a container for every item and capacity.
 
     ``items`` has an id, a text and a size; ``specs`` spec_id and capacity (a handful of rows;
@@ -258,7 +258,7 @@ def pack(items: DataFrame, specs: DataFrame, id_col: str, text_col: str, size_co
     neighbours and neither a topic nor a group of copies makes a large shard. A shard ends at
     ``shard_items`` items or ``shard_letters`` letters (a longer text alone), so none grows with
     the table; neighbours are looked for within the shard. Topics are fitted on about ``sample``
-    items.
+    items. ``source`` holds the items' ids and texts where those come more cheaply than sizes.
     """
     wanted = [(r[0], int(r[1])) for r in specs.select("spec_id", "capacity").where("capacity IS NOT NULL").limit(1001).collect()]
     if len(wanted) > 1000 or any(c < 1 for _, c in wanted):
@@ -268,8 +268,9 @@ def pack(items: DataFrame, specs: DataFrame, id_col: str, text_col: str, size_co
     spec_type, width = specs.schema["spec_id"].dataType, 1024
     arrow_spec = to_arrow_type(spec_type)
     rows = items.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(size_col).cast("int").alias("size"))
-    count, letters = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    known = rows.sparkSession.sparkContext.broadcast(fit_topics(rows, "id", "text", count, sample, topics, width))  # topics x width numbers
+    plain = rows if source is None else source.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    count, letters = plain.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    known = rows.sparkSession.sparkContext.broadcast(fit_topics(plain, "id", "text", count, sample, topics, width))  # topics x width numbers
 
     def about(batches):
         for b in batches:
@@ -317,7 +318,7 @@ def pack(items: DataFrame, specs: DataFrame, id_col: str, text_col: str, size_co
 
 def pack_texts(docs: DataFrame, specs: DataFrame, id_col: str, text_col: str, name: str = "byte_bpe_50k", **settings: int) -> DataFrame:
     """``pack`` with sizes in tokens of a public tokenizer, counted by the token automaton."""
-    return pack(with_counts(docs.select(id_col, text_col), text_col, "tokens", name), specs, id_col, text_col, "tokens", **settings)
+    return pack(with_counts(docs.select(id_col, text_col), text_col, "tokens", name), specs, id_col, text_col, "tokens", source=docs, **settings)
 
 
 def violations(packed: DataFrame, sizes: DataFrame, specs: DataFrame, id_col: str, size_col: str) -> DataFrame:
