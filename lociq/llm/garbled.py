@@ -42,7 +42,7 @@ SWAPPED = (
     ("shift_jis", "cp1252"), ("shift_jis", "latin-1"), ("euc_jp", "cp1252"), ("euc_jp", "latin-1"), ("iso8859-5", "cp1252"), ("iso8859-5", "latin-1"),
 )
 LOST = "�"
-PAIRS, SINGLES, WORDS = 1 << 20, 1 << 16, 1 << 19
+PAIRS, SINGLES, WORDS = 1 << 20, 0x110000, 1 << 19  # single characters have a counter each
 _WORD = regex.compile(r"[A-Za-z]*(?:[^\x00-\x7f]+\?*[A-Za-z]*)+")
 _EDGE = "\x02"
 
@@ -59,7 +59,7 @@ def _slot(a: str, b: str) -> int:
 
 def _slots(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a, b = text[:-1].astype(np.uint64), text[1:].astype(np.uint64)
-    return ((a * np.uint64(0x9E3779B1) ^ b * np.uint64(0x85EBCA6B)) % np.uint64(0xFFFFFFFB) & np.uint64(PAIRS - 1)).astype(np.int64), (a % np.uint64(SINGLES)).astype(np.int64)
+    return ((a * np.uint64(0x9E3779B1) ^ b * np.uint64(0x85EBCA6B)) % np.uint64(0xFFFFFFFB) & np.uint64(PAIRS - 1)).astype(np.int64), a.astype(np.int64)
 
 
 def _word_slots(word: str) -> tuple[int, int]:
@@ -79,14 +79,14 @@ class Letters:
         self.cost = lru_cache(200_000)(self._cost)
 
     def _cost(self, a: str, b: str) -> float:
-        left, right = float(self.singles[ord(a) % SINGLES]), float(self.singles[ord(b) % SINGLES])
-        alone = (right + 1e-3) / (self.total + SINGLES * 1e-3)
+        left, right = float(self.singles[ord(a)]), float(self.singles[ord(b)])
+        alone = (right + 1e-3) / (self.total + 65.536)
         # A pair can't be commoner than its letters: what other pairs left in its slot is cut off.
         seen = min(float(self.pairs[_slot(a, b)]), left, right)
         return math.log((seen + 0.5 * alone) / (left + 0.5))
 
     def known(self, c: str) -> bool:
-        return self.singles[ord(c) % SINGLES] > 0
+        return self.singles[ord(c)] > 0
 
     def score(self, word: str) -> float:
         """By letter pairs alone."""
@@ -136,7 +136,7 @@ def _readings(part: tuple[int | None, ...], letters: Letters) -> tuple[str, ...]
         at = (at[:, None] << 6 | (np.arange(64) if x is None else np.array([x & 0x3F]))[None]).ravel()
     least = (0x80, 0x800, 0x10000)[n - 2]
     at = at[(at >= least) & (at <= 0x10FFFF) & ((at < 0xD800) | (at > 0xDFFF))]
-    return tuple(map(chr, at[letters.singles[at % SINGLES] > 0].tolist()))
+    return tuple(map(chr, at[letters.singles[at] > 0].tolist()))
 
 
 @lru_cache(64)

@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +167,40 @@ def test_garbled_documents(spark):
     assert back[2003].endswith("ANOTAÇÃO")
     assert garbled.garbled(df.limit(0)).count() == 0
     assert garbled.garbled(spark.createDataFrame([(1, "x")], "doc_id long, text string")).count() == 0
+
+
+def model(words):
+    """The letter and word model of a word table, built in this process."""
+    pairs, singles, sketch = np.zeros(garbled.PAIRS, np.int64), np.zeros(garbled.SINGLES, np.int64), np.zeros(2 * garbled.WORDS, np.int64)
+    for w, n in words.items():
+        p, s = garbled._slots(np.frombuffer(f"\x02{w}\x02".encode("utf-32-le"), np.uint32))
+        np.add.at(pairs, p, n)
+        np.add.at(singles, s, n)
+        i, j = garbled._word_slots(w)
+        sketch[i] += n
+        sketch[garbled.WORDS + j] += n
+    return garbled.Letters(pairs, singles, sketch)
+
+
+def test_word_frequencies_decide_among_ways_through_the_lattice():
+    """Letter pairs alone would write ``niüo``, which no one did; the corpus has ``niño``."""
+    m = model({"niño": 5, "iüa": 400, "biü": 400, "üo": 400, "güo": 300, "niä": 3})
+    lost = "niÃ?o"  # the second byte of the letter is gone
+    assert m.score("niüo") > m.score("niño") and m.likely("niño") > m.likely("niüo")
+    assert garbled.undo_utf8(lost, "latin-1", m) == "niño"
+    assert garbled.undo_utf8(lost, "latin-1", m, paths=1) in ("niño", "niüo")
+
+
+def test_all_readings_of_lost_bytes_are_tried():
+    """Three of four bytes are gone: 262,144 readings, of which the corpus knows one."""
+    m = model({"a\U0001f600": 3, "é": 2})
+    assert garbled._readings((0xF0, None, None, None), m) == ("\U0001f600",)
+    assert garbled.undo_utf8("að???", "latin-1", m) == "a\U0001f600"
+
+
+def test_a_huge_basket_is_cut_at_the_production_chunk(spark):
+    rows = [("big", f"i{k:03}") for k in range(600)] + [(f"b{n}", f"i{k:03}") for n in range(3) for k in range(0, 30, n + 1)]
+    df = spark.createDataFrame(rows, "x string, y string").repartition(3)
+    got = {(r.a, r.b): r.k for r in cooccurrence.pair_counts(df.select(F.col("x").alias("basket"), F.col("y").alias("item"))).collect()}
+    assert len(got) == 600 * 599 // 2
+    assert got["i000", "i006"] == 4 and got["i000", "i003"] == 3 and got["i000", "i001"] == 2 and got["i598", "i599"] == 1
