@@ -144,3 +144,69 @@ def test_cleaned_sequence(spark, texts):
 def test_trimmed_key(spark):
     df = spark.createDataFrame([(" \ta b\t ",), ("\n",), (None,)], "k string")
     assert [r[0] for r in df.select(trim_key("k")).collect()] == ["a b", "\n", None]
+
+
+def test_stretches_of_one_entity_over_many_partitions(spark):
+    """Carried labels: long stretches that nest and touch, in more partitions than stretches, and
+    entity columns of names that are used inside."""
+    import random
+
+    r = random.Random(2)
+    rows, at = [], 0
+    for _ in range(40):
+        at += r.randint(2, 50)
+        begin = at
+        for _ in range(r.randint(1, 60)):
+            rows.append((begin + r.randint(0, 900), begin + r.randint(0, 900)))
+        at = begin + 901
+    covered = set()
+    for a, b in rows:
+        covered |= set(range(min(a, b), max(a, b) + 1))
+    want, p = [], None
+    for x in sorted(covered):
+        if p is None or x > p[1] + 1:
+            p = [x, x]
+            want.append(p)
+        p[1] = x
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        for names in (["c"], ["_start", "s"], ["__s", "__part"]):
+            df = spark.createDataFrame([(*["k"] * len(names), a, b) for a, b in rows], ", ".join(f"`{n}` string" for n in names) + ", x int, y int")
+            got = intervals.islands(df, names, "x", "y")
+            assert got.columns == [*names, "stretch_start", "stretch_end", "n_starts"]
+            assert sorted([g.stretch_start, g.stretch_end] for g in got.collect()) == want
+            assert sum(g.n_starts for g in got.collect()) == len({min(a, b) for a, b in rows})
+            gaps = sorted((g.gap_start, g.gap_end) for g in intervals.gaps(df, names, "x", "y").collect())
+            assert gaps == [(a[1] + 1, b[0] - 1) for a, b in zip(want, want[1:])]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_numbers_run_on_over_partitions(spark):
+    from lociq.operators.ordered import numbered
+
+    rows = [("hot", i) for i in range(500)] + [(f"g{i}", 0) for i in range(20)] + [(None, 3), (None, 1)]
+    df = spark.createDataFrame([(b, a, "x") for a, b in rows], "o int, g string, place string").repartition(5)
+    got = numbered(df, ("g",), ("o",)).collect()
+    assert {(x.g, x.o): x.place for x in got} == {("hot", i): i + 1 for i in range(500)} | {(f"g{i}", 0): 1 for i in range(20)} | {(None, 1): 1, (None, 3): 2}
+    assert [x.n for x in sorted(numbered(df, (), ("g", "o"), "n").collect(), key=lambda x: (x.g is not None, x.g, x.o))] == list(range(1, 523))
+    assert numbered(df.limit(0), ("g",), ("o",)).count() == 0
+
+
+def test_percentile_of_wide_values(spark):
+    """Values over nearly all of 64 bits: more than one level, exact at each."""
+    import random
+
+    from lociq.operators import frequency
+
+    r = random.Random(3)
+    rows = [(k, r.choice([r.randint(-(1 << 61), 1 << 61), r.randint(0, 50), 7])) for k in ("a", "b", None) for _ in range(101)] + [("c", None)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    for p in (0.0, 0.5, 0.9, 1.0):
+        want = {}
+        for k in ("a", "b", None):
+            v = sorted(x for q, x in rows if q == k)
+            want[k] = v[max(1, -(-int(p * 1000) * len(v) // 1000)) - 1]
+        assert {x.key: x.percentile for x in frequency.key_percentile(df, F.col("k"), F.col("v"), p).collect()} == want
