@@ -1,16 +1,19 @@
 """Near-duplicate records: all pairs of texts whose letter windows are similar enough.
 
-1. Each distinct text gets min-hashes of its windows in bands of two, and a fingerprint of 128
-   bits, one of each of 128 min-hashes, so the distance of two fingerprints follows the
-   similarity of the window sets. A band whose two windows are both hot (a large part of all
-   texts has them) is told apart further by the text's least other window; a text that is hot
-   for the most part keeps the plain band besides.
-2. Rows (band key, fingerprint) are sorted by key. In a bucket the fingerprints are turned into
+1. Each distinct text gets min-hashes of its windows in bands of two, and a sketch of 128
+   min-hashes: a fingerprint of 128 bits, one of each, so the distance of two fingerprints
+   follows the similarity of the window sets, and a second bit of each. A band whose two windows
+   are both hot (a large part of all texts has them) is told apart further by the text's least
+   other window; a text that is hot for the most part keeps the plain band besides.
+2. Keys are looked through first, without sketches: only rows whose key some other text has too
+   go on (keys that a task meets often do so at once), and get their text's sketch then.
+3. Rows (band key, sketch) are sorted by key. In a bucket the fingerprints are turned into
    bit planes, 64 of them to a word, and many distances grow at once in carry-save counters of
-   whole words; a block is abandoned as soon as every lane is beyond the radius. A key that
-   comes up often in one task is packed into blocks there and never gathers; blocks of a key
-   are spread over a grid of tasks, each holding the pairs of two groups of blocks.
-3. Pairs within the radius are compared exactly on their window sets.
+   whole words; a block is abandoned as soon as every lane is beyond the radius. Pairs within it
+   must also agree in both bits of enough min-hashes. A key that comes up often in one task is
+   packed into blocks there and never gathers; blocks of a key are spread over a grid of tasks,
+   each holding the pairs of two groups of blocks. Pairs leave a task as they are found.
+4. Pairs that are left are compared exactly on their window sets.
 
 No bucket, partner or candidate is capped. A pair at similarity s shares a band with
 probability 1 - (1 - s^2)^bands; with 32 bands that is 0.9999 at 0.5 and more above it. With
@@ -36,6 +39,8 @@ from lociq.session import cut
 
 BITS = 128
 WORDS = BITS // 64
+#: Words of a row: fingerprint, second bits, id of the text.
+ROW = 2 * WORDS + 1
 SLOTS = 1 << 22
 _ALL = U(0xFFFFFFFFFFFFFFFF)
 
@@ -92,6 +97,12 @@ def fingerprints(least: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(U)
 
 
+def second_bits(least: np.ndarray) -> np.ndarray:
+    """(texts, words) another bit of each min-hash, laid out as in fingerprints."""
+    bits = ((least * np.uint32(0x9E3779B1)) >> np.uint32(23)).astype(np.uint8) & np.uint8(1)
+    return np.packbits(bits, axis=1, bitorder="little").view(U)
+
+
 def band_keys(least: np.ndarray, bands: int) -> np.ndarray:
     """(texts, bands) keys of two min-hashes each."""
     two = least[:, : 2 * bands].astype(U)
@@ -177,14 +188,13 @@ def planes_of(fp: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1, bitorder="little").view(U)
 
 
-def near_pairs(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of fingerprints within the radius: of two blocks, or i < j of one."""
+def _near_steps(left: np.ndarray, right: np.ndarray | None, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``near_pairs`` as they are found: of a million pairs at a time."""
     own = right is None
     right = left if own else right
     planes = planes_of(right)
     bits = np.unpackbits(np.ascontiguousarray(left).view(np.uint8), axis=1, bitorder="little").astype(bool)
-    out_i, out_j = [], []
-    step = max(1, 16_384 // planes.shape[1])
+    step = max(1, 16_384 // max(1, planes.shape[1]))
     for q in range(0, len(left), step):
         w0 = q // 64 if own else 0  # lanes before the queries are done already
         ask = np.where(bits[q : q + step], _ALL, U(0))
@@ -196,10 +206,18 @@ def near_pairs(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple
         k, lane = np.nonzero(lanes)
         i, j = i[k] + q, (w[k] + w0) * 64 + lane
         keep = (j < len(right)) & ((j > i) if own else True)
-        out_i.append(i[keep])
-        out_j.append(j[keep])
+        yield i[keep], j[keep]
+
+
+def _all_of(steps: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     z = np.zeros(0, np.int64)
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (z, z)
+    i, j = zip((z, z), *steps, strict=True)
+    return np.concatenate(i), np.concatenate(j)
+
+
+def near_pairs(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of fingerprints within the radius: of two blocks, or i < j of one."""
+    return _all_of(_near_steps(left, right, radius))
 
 
 def near_listed(fp: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np.ndarray:
@@ -214,15 +232,12 @@ def near_listed(fp: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> np
     return keep
 
 
-def _bucket_pairs(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows within the radius, of all buckets (runs of equal keys) of a block."""
+def _bucket_steps(key: np.ndarray, fp: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     edges = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1, [len(key)]])
     size = np.diff(edges)
-    out_i, out_j = [], []
     for b in np.nonzero(size >= 64)[0]:
-        i, j = near_pairs(fp[edges[b] : edges[b + 1]], None, radius)
-        out_i.append(i + edges[b])
-        out_j.append(j + edges[b])
+        for i, j in _near_steps(fp[edges[b] : edges[b + 1]], None, radius):
+            yield i + edges[b], j + edges[b]
     small = size < 64
     # The pairs of a small bucket: each row with the 1st, 2nd, ... row after it.
     last = np.repeat(edges[1:], size)
@@ -230,29 +245,66 @@ def _bucket_pairs(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndar
     ahead = 1
     while len(row := row[row + ahead < last[row]]):
         ok = near_listed(fp, row, row + ahead, radius)
-        out_i.append(row[ok])
-        out_j.append(row[ok] + ahead)
+        yield row[ok], row[ok] + ahead
         ahead += 1
-    z = np.zeros(0, np.int64)
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (z, z)
+
+
+def _bucket_pairs(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows within the radius, of all buckets (runs of equal keys) of a block."""
+    return _all_of(_bucket_steps(key, fp, radius))
+
+
+def _fp(rows: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(rows[:, :WORDS])
+
+
+def _alike(x: np.ndarray, y: np.ndarray, steps: Iterator[tuple[np.ndarray, np.ndarray]], unlike: int, most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """(a0, b0) of the pairs of rows whose min-hashes differ in at most ``unlike`` places by both
+    bits, a0 < b0, a piece at a time. Rows of fingerprints alone are named by their first word."""
+    plain = x.shape[1] == WORDS
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def piece():
+        a, b = (np.concatenate(z) for z in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(z[new].view(np.int64)) for z in (a, b)], names=["a0", "b0"])
+
+    for i, j in steps:
+        if plain:
+            a, b = x[i, 0], y[j, 0]
+        else:
+            off = sum(np.bitwise_count((x[i, w] ^ y[j, w]) | (x[i, w + WORDS] ^ y[j, w + WORDS])).astype(np.int64) for w in range(WORDS))
+            ok = off <= unlike
+            a, b = x[i[ok], -1], y[j[ok], -1]
+            ok = a != b
+            a, b = a[ok], b[ok]
+        if len(a):
+            held.append((np.minimum(a, b), np.maximum(a, b)))
+        if sum(len(a) for a, _ in held) >= most:
+            yield piece()
+    if held:
+        yield piece()
 
 
 # --- Spark stages ---------------------------------------------------------------------
 
-_FP = [f"f{i}" for i in range(WORDS)]
 _LONG = T.LongType()
 
 
-def _fp_fields(prefix: str) -> list[T.StructField]:
-    return [T.StructField(f"{prefix}{i}", _LONG) for i in range(WORDS)]
+def _fields(names: list[str]) -> list[T.StructField]:
+    return [T.StructField(x, _LONG) for x in names]
 
 
-def _fp_arrays(fp: np.ndarray) -> list[pa.Array]:
-    return [pa.array(fp[:, i].view(np.int64)) for i in range(WORDS)]
+def _columns(rows: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.ascontiguousarray(rows[:, i]).view(np.int64)) for i in range(rows.shape[1])]
 
 
-def _fp_of(b: pa.RecordBatch, first: int) -> np.ndarray:
-    return np.stack([b.column(first + i).to_numpy().view(U) for i in range(WORDS)], axis=1)
+def _rows_of(b: pa.RecordBatch, first: int) -> np.ndarray:
+    return np.stack([b.column(first + i).to_numpy().view(U) for i in range(ROW)], axis=1)
 
 
 def _texts(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -272,6 +324,25 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> U(20)).astype(np.int64) & (SLOTS - 1)
 
 
+class _Counts:
+    """How often each slot came up; slots are counted a few million at a time."""
+
+    def __init__(self):
+        self.count, self.held, self.size = np.zeros(SLOTS, np.int64), [], 0
+
+    def add(self, slots: np.ndarray) -> None:
+        self.held.append(slots)
+        self.size += len(slots)
+        if self.size >= 2_000_000:
+            self.whole()
+
+    def whole(self) -> np.ndarray:
+        if self.held:
+            self.count += np.bincount(np.concatenate(self.held), minlength=SLOTS)
+            self.held, self.size = [], 0
+        return self.count
+
+
 def hot_slots(texts: DataFrame, width: int, share: float = 0.02, over: float = 4.0) -> tuple[np.ndarray, int]:
     """(hot windows, number of texts). Hot are windows that at least ``share`` of all texts have,
     as a table of hashed slots of a fixed size; a slot must besides be ``over`` times as full as
@@ -283,12 +354,13 @@ def hot_slots(texts: DataFrame, width: int, share: float = 0.02, over: float = 4
     """
 
     def local(batches):
-        count, docs, total = np.zeros(SLOTS, np.int64), 0, 0
+        counts, docs, total = _Counts(), 0, 0
         for b in pieces(batches, 0, 500_000):
             h, n = window_hashes(*letters(b.column(0)), width)
-            count += np.bincount(_slot(h), minlength=SLOTS)
+            counts.add(_slot(h))
             docs, total = docs + len(n), total + len(h)
         if docs:
+            count = counts.whole()
             at = np.nonzero(count >= max(1, share * docs))[0]
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(np.zeros(len(at), np.int64), [docs, total]))], names=["slot", "n"])
 
@@ -303,13 +375,14 @@ def hot_slots(texts: DataFrame, width: int, share: float = 0.02, over: float = 4
     sent = texts.sparkSession.sparkContext.broadcast(np.packbits(out))
 
     def exact(batches):
-        may, count = np.unpackbits(sent.value).astype(bool), np.zeros(SLOTS, np.int64)
+        may, counts = np.unpackbits(sent.value).astype(bool), _Counts()
         for b in pieces(batches, 0, 500_000):
             h, n = window_hashes(*letters(b.column(0)), width)
             at = _slot(h)
             keep = may[at]
             once = _different(np.repeat(np.arange(len(n)), n)[keep] * SLOTS + at[keep])
-            count += np.bincount(once & (SLOTS - 1), minlength=SLOTS)
+            counts.add(once & (SLOTS - 1))
+        count = counts.whole()
         at = np.nonzero(count)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(count[at])], names=["slot", "n"])
 
@@ -320,40 +393,42 @@ def hot_slots(texts: DataFrame, width: int, share: float = 0.02, over: float = 4
 
 
 class _Packer:
-    """Rows (key, fingerprint) of a task on their way out. Keys that come up ``often`` in one
-    piece are packed into blocks of fingerprints; the others go on as plain rows."""
+    """Rows (key, sketch) of a task on their way out. Keys that come up ``often`` in one piece
+    are packed into blocks of sketches; the others go on as plain rows. At most ``most`` rows
+    are held at a time, of however many keys."""
 
-    NAMES = ["part", *[f"f{i}" for i in range(WORDS)], "fps"]
+    NAMES = ["part", *[f"f{i}" for i in range(ROW)], "fps"]
 
-    def __init__(self, often: int, block: int):
-        self.often, self.block, self.serial = often, block, 0
+    def __init__(self, often: int, block: int, most: int = 500_000):
+        self.often, self.block, self.most, self.serial = often, block, most, 0
         self.held: dict[int, list[np.ndarray]] = {}
         self.size: Counter[int] = Counter()
 
-    def rows(self, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(self, key: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         kinds, of, n = np.unique(key, return_inverse=True, return_counts=True)
         many = n >= self.often
         if self.held:
             many |= np.isin(kinds, np.fromiter(self.held, U, len(self.held)))
         packed = many[of]
-        yield self._plain(key[~packed], fp[~packed])
+        yield self._plain(key[~packed], rows[~packed])
         if packed.any():
             order = np.argsort(of[packed], kind="stable")
-            k, f = key[packed][order], fp[packed][order]
+            k, f = key[packed][order], rows[packed][order]
             edges = np.concatenate([[0], np.nonzero(k[1:] != k[:-1])[0] + 1, [len(k)]])
             for a, b in zip(edges[:-1], edges[1:], strict=True):
                 x = int(k[a])
                 if x not in self.held:
                     self.held[x] = []
                     # An empty block tells the key's own task that there are blocks elsewhere.
-                    yield self._block(x, x, np.zeros((0, WORDS), U))
+                    yield self._block(x, x, np.zeros((0, ROW), U))
                 self.held[x].append(f[a:b])
                 self.size[x] += b - a
                 if self.size[x] >= self.block:
                     yield from self._flush(x)
-            if len(self.held) > 10_000:
+            if len(self.held) > 10_000 or self.size.total() > self.most:
                 yield from self.rest()
                 self.held.clear()
+                self.size.clear()
 
     def rest(self) -> Iterator[pa.RecordBatch]:
         for x in list(self.held):
@@ -361,41 +436,176 @@ class _Packer:
 
     def _flush(self, x: int) -> Iterator[pa.RecordBatch]:
         if self.held[x]:
-            fp = np.concatenate(self.held[x])
+            rows = np.concatenate(self.held[x])
             self.held[x], self.size[x] = [], 0
-            self.serial += 1
-            yield self._block(int(mix(np.array([x], U) + U(self.serial) + mix(fp[:1, 0]))[0]), x, fp)
+            for at in range(0, len(rows), self.block):
+                self.serial += 1
+                yield self._block(int(mix(np.array([x], U) + U(self.serial) + mix(rows[at : at + 1, -1]))[0]), x, rows[at : at + self.block])
+
+    def _plain(self, key, rows) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *_columns(rows), pa.nulls(len(key), pa.binary())], names=self.NAMES)
+
+    def _block(self, part: int, key: int, rows: np.ndarray) -> pa.RecordBatch:
+        whole = np.concatenate([np.array([key], U), rows.ravel()]).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array(np.array([part], U).view(np.int64)), *[pa.nulls(1, pa.int64())] * ROW, pa.array([whole], pa.binary())], names=self.NAMES)
+
+
+#: Kinds of packed rows: a text's key (5 bytes, the rest of it is the task's number) and id; id
+#: and whole key of a row that goes on whoever else has the key; id and sketch of a text.
+BAND, SURE, SKETCH = range(3)
+ID_BYTES, KEY_BYTES = 6, 5
+WIDTH = {BAND: KEY_BYTES + ID_BYTES, SURE: ID_BYTES + 8, SKETCH: ID_BYTES + 16 * WORDS}
+_KEY_BITS = U(8 * KEY_BYTES)
+#: In place of an id: the key was met often elsewhere, so all of its rows go on.
+_OFTEN = U((1 << 8 * ID_BYTES) - 1)
+_PARTS = "part int, kind int, rows binary"
+
+
+def _packed(x: np.ndarray, size: int) -> np.ndarray:
+    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(len(x), 8)[:, :size]
+
 
-    def _plain(self, key, fp) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *_fp_arrays(fp), pa.nulls(len(key), pa.binary())], names=self.NAMES)
+def _number(b: np.ndarray) -> np.ndarray:
+    whole = np.zeros((len(b), 8), np.uint8)
+    whole[:, : b.shape[1]] = b
+    return whole.view("<u8").ravel()
 
-    def _block(self, part: int, key: int, fp: np.ndarray) -> pa.RecordBatch:
-        whole = np.concatenate([np.array([key], U), fp.ravel()]).tobytes()
-        return pa.RecordBatch.from_arrays([pa.array(np.array([part], U).view(np.int64)), *[pa.nulls(1, pa.int64())] * WORDS, pa.array([whole], pa.binary())], names=self.NAMES)
 
+def _ids(digests: pa.Array) -> np.ndarray:
+    """The first six bytes of each digest as a number."""
+    return _number(np.frombuffer(b"".join(digests.to_pylist()), np.uint8).reshape(-1, 16)[:, ID_BYTES - 1 :: -1])
 
-_ROWS = T.StructType([T.StructField("part", _LONG), *_fp_fields("f"), T.StructField("fps", T.BinaryType())])
 
+class _Sorter:
+    """Packed rows of a task, gathered by the task they go to: one binary for many of them."""
 
-def _keyed_rows(texts: DataFrame, width: int, keys, hot_table: np.ndarray, often: int, block: int) -> DataFrame:
-    """(part, fingerprint, fps): a row for each of a text's keys, or blocks of fingerprints of
-    keys that come up often. ``keys`` makes (row, key) out of a piece's windows. Copies met by
-    the same task go once."""
+    def __init__(self, most: int = 400_000):
+        self.most, self.size = most, 0
+        self.held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def add(self, kind: int, part: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(part):
+            self.held.setdefault(kind, []).append((part.astype(np.int32), np.concatenate(columns, axis=1)))
+            self.size += len(part)
+            if self.size >= self.most:
+                yield from self.rest()
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        for kind, held in self.held.items():
+            part, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(part, kind="stable")
+            part, rows = part[order], rows[order]
+            edges = np.concatenate([[0], np.nonzero(part[1:] != part[:-1])[0] + 1, [len(part)]])
+            blobs = [rows[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[edges[:-1]]), pa.array(np.full(len(blobs), kind, np.int32)), pa.array(blobs, pa.binary())], names=["part", "kind", "rows"])
+        self.held, self.size = {}, 0
+
+
+def _keyed_rows(texts: DataFrame, width: int, keys, hot_table: np.ndarray, often: int, tasks: int) -> DataFrame:
+    """(part, kind, rows): keys and sketches of all texts. ``keys`` makes (row, key) out of a
+    piece's windows. Keys that come up often in a piece go to their text's task at once, and
+    their own task is told so. Copies met by the same task go once."""
     sent = texts.sparkSession.sparkContext.broadcast(np.packbits(hot_table))
 
     def run(batches):
-        seen, hot, out = Seen(), np.unpackbits(sent.value).astype(bool), _Packer(often, block)
+        seen, hot, out, told = Seen(), np.unpackbits(sent.value).astype(bool), _Sorter(), Seen()
         for b in pieces(batches, 1, 250_000):
             b = b.take(pa.array(seen.fresh(b.column(0).to_pylist()), pa.int64()))
             if not b.num_rows:
                 continue
             h, n = window_hashes(*letters(b.column(1)), width)
-            whole = min_hashes(h, n, BITS)
+            whole, id_ = min_hashes(h, n, BITS), _ids(b.column(0))
             row, key = keys(h, n, whole, hot[_slot(h)])
-            yield from out.rows(key, fingerprints(whole)[row])
+            part, own = (key >> _KEY_BITS) % U(tasks), id_ % U(tasks)
+            kinds, first, of, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            sure = (count >= often)[of]
+            yield from out.add(BAND, part[~sure], _packed(key[~sure], KEY_BYTES), _packed(id_[row[~sure]], ID_BYTES))
+            if sure.any():
+                local = key & ((U(1) << _KEY_BITS) - U(1))
+                at = row[sure]
+                yield from out.add(SURE, own[at], _packed(id_[at], ID_BYTES), _packed((part << _KEY_BITS | local)[sure], 8))
+                kinds, first = kinds[count >= often], first[count >= often]
+                new = told.fresh(kinds.tolist())
+                yield from out.add(BAND, part[first[new]], _packed(kinds[new], KEY_BYTES), _packed(np.full(len(new), _OFTEN), ID_BYTES))
+            sketch = np.concatenate([fingerprints(whole), second_bits(whole)], axis=1)
+            yield from out.add(SKETCH, own, _packed(id_, ID_BYTES), np.ascontiguousarray(sketch).view(np.uint8))
+        yield from out.rest()
+
+    return texts.select("digest", "text").mapInArrow(run, _PARTS)
+
+
+def _in_several(key: np.ndarray, id_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows (key, id), once each, whose key comes up with another id too."""
+    order = np.argsort(key)
+    key, id_ = key[order], id_[order]
+    first = np.concatenate([[0], np.nonzero(key[1:] != key[:-1])[0] + 1])
+    several = np.minimum.reduceat(id_, first) != np.maximum.reduceat(id_, first)
+    keep = np.repeat(several, np.diff(np.append(first, len(key)))) & (id_ != _OFTEN)
+    return _once(key[keep], id_[keep])
+
+
+def _once(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs of numbers, sorted."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
+
+
+def _met(keyed: DataFrame, tasks: int, most: int = 2_000_000) -> DataFrame:
+    """Of the keyed rows those whose key another text has too, sent on to their text's task."""
+
+    def run(batches):
+        bands, total, out = [], 0, _Sorter()
+        for b in batches:
+            band = pa.compute.equal(b.column(1), BAND)
+            for part, rows in zip(b.column(0).filter(band).to_pylist(), b.column(2).filter(band).to_pylist(), strict=True):
+                bands.append((part, np.frombuffer(rows, np.uint8).reshape(-1, WIDTH[BAND])))
+                total += len(bands[-1][1])
+            yield b.filter(pa.compute.invert(band))
+        passes = max(1, -(-total // most))
+        for p in range(passes):  # a range of keys at a time
+            keys, ids = [np.zeros(0, U)], [np.zeros(0, U)]
+            for part, rows in bands:
+                if passes > 1:
+                    rows = rows[_number(rows[:, :KEY_BYTES]) * U(passes) >> _KEY_BITS == U(p)]
+                keys.append(_number(rows[:, :KEY_BYTES]) | U(part) << _KEY_BITS)
+                ids.append(_number(rows[:, KEY_BYTES:]))
+            key, id_ = np.concatenate(keys), np.concatenate(ids)
+            if len(key):
+                key, id_ = _in_several(key, id_)
+                yield from out.add(SURE, id_ % U(tasks), _packed(id_, ID_BYTES), _packed(key, 8))
+        yield from out.rest()
+
+    return keyed.repartitionById(tasks, "part").mapInArrow(run, _PARTS)
+
+
+_ROWS = T.StructType([*_fields(_Packer.NAMES[:-1]), T.StructField("fps", T.BinaryType())])
+
+
+def _with_sketches(met: DataFrame, tasks: int, often: int, block: int) -> DataFrame:
+    """(part, sketch and id, fps): a row for each key of a text that another text has too, or
+    blocks of rows of keys that come up often."""
+
+    def run(batches):
+        got = {SURE: [], SKETCH: []}
+        for b in batches:
+            for kind, rows in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                got[kind].append(rows)
+        sure, sketch = (np.frombuffer(b"".join(got[k]), np.uint8).reshape(-1, WIDTH[k]) for k in (SURE, SKETCH))
+        if not len(sure):
+            return
+        key, id_ = _once(_number(sure[:, ID_BYTES:]), _number(sure[:, :ID_BYTES]))
+        known, first = np.unique(_number(sketch[:, :ID_BYTES]), return_index=True)
+        words = np.ascontiguousarray(sketch[first, ID_BYTES:]).view("<u8")
+        out = _Packer(often, block)
+        for at in range(0, len(key), 65_536):
+            k, i = key[at : at + 65_536], id_[at : at + 65_536]
+            yield from out.rows(k, np.concatenate([words[np.searchsorted(known, i)], i[:, None]], axis=1))
         yield from out.rest()
 
-    return texts.select("digest", "text").mapInArrow(run, _ROWS)
+    return met.repartitionById(tasks, "part").mapInArrow(run, _ROWS)
 
 
 def _banded(bands: int, most_hot: float = 0.15):
@@ -443,41 +653,38 @@ def _prefixed(least: float):
     return keys
 
 
-def _compare(rows: DataFrame, radius: int, block: int, tasks: int) -> DataFrame:
-    """Fingerprint pairs of all buckets: kind 0 are pairs within the radius (a*, b*); kind 1
+def _compare(rows: DataFrame, radius: int, unlike: int, block: int, tasks: int) -> DataFrame:
+    """Pairs of all buckets: kind 0 are ids of pairs that are near enough (a0, b0); kind 1
     are blocks of a bucket that isn't finished in one task (key, fps)."""
     sorted_rows = rows.repartition(tasks, "part").sortWithinPartitions("part")
-    names = ["kind", *[f"a{i}" for i in range(WORDS)], *[f"b{i}" for i in range(WORDS)], "key", "fps"]
+    names = ["kind", "a0", "b0", "key", "fps"]
 
     def pairs(key, fp):
-        if not len(key):
-            return
-        i, j = _bucket_pairs(key, fp, radius)
-        if not len(i):
-            return
-        ab = np.unique(np.concatenate([fp[i], fp[j]], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ab), np.int32)), *_fp_arrays(ab[:, :WORDS]), *_fp_arrays(ab[:, WORDS:]), pa.nulls(len(ab), pa.int64()), pa.nulls(len(ab), pa.binary())], names=names)
+        if len(key):
+            for ab in _alike(fp, fp, _bucket_steps(key, _fp(fp), radius), unlike):
+                n = ab.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), *ab.columns, pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names)
 
     def blocks(key, fp):
         none = pa.nulls(1, pa.int64())
         for at in range(0, len(fp), block):
-            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), *[none] * (2 * WORDS), pa.array([int(key)], pa.int64()), pa.array([fp[at : at + block].tobytes()], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), none, none, pa.array([int(key)], pa.int64()), pa.array([fp[at : at + block].tobytes()], pa.binary())], names=names)
 
     def run(batches):
-        key, fp = np.zeros(0, np.int64), np.zeros((0, WORDS), U)
+        key, fp = np.zeros(0, np.int64), np.zeros((0, ROW), U)
         open_ = None  # the bucket that is going out in blocks
         marked: set[int] = set()  # keys of this task with blocks elsewhere
         for b in chain(batches, [None]):
             if b is not None:
-                packed = b.column(1 + WORDS).is_valid()
-                for x in b.column(1 + WORDS).filter(packed).to_pylist():
+                packed = b.column(1 + ROW).is_valid()
+                for x in b.column(1 + ROW).filter(packed).to_pylist():
                     own = np.frombuffer(x, U)
                     if len(own) == 1:
                         marked.add(int(own.view(np.int64)[0]))
                     else:
-                        yield from blocks(own.view(np.int64)[0], own[1:].reshape(-1, WORDS))
+                        yield from blocks(own.view(np.int64)[0], own[1:].reshape(-1, ROW))
                 plain = b.filter(pa.compute.invert(packed))
-                key, fp = np.concatenate([key, plain.column(0).to_numpy()]), np.concatenate([fp, _fp_of(plain, 1)])
+                key, fp = np.concatenate([key, plain.column(0).to_numpy()]), np.concatenate([fp, _rows_of(plain, 1)])
                 if len(key) < block:
                     continue
             if not len(key):
@@ -502,7 +709,7 @@ def _compare(rows: DataFrame, radius: int, block: int, tasks: int) -> DataFrame:
                 yield from blocks(open_, fp[:block])
                 key, fp = key[block:], fp[block:]
 
-    schema = T.StructType([T.StructField("kind", T.IntegerType()), *_fp_fields("a"), *_fp_fields("b"), T.StructField("key", _LONG), T.StructField("fps", T.BinaryType())])
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), *_fields(["a0", "b0", "key"]), T.StructField("fps", T.BinaryType())])
     return sorted_rows.mapInArrow(run, schema)
 
 
@@ -510,47 +717,43 @@ def _compare(rows: DataFrame, radius: int, block: int, tasks: int) -> DataFrame:
 MOST_KEYS = 1_000_000
 
 
-def _compare_blocks(blocks: DataFrame, radius: int, group: int = 16) -> DataFrame:
-    """Pairs of the buckets that were cut. A bucket's blocks fall into groups of about ``group``
-    by a hash; every two groups are a cell of a grid and a task of its own, so a block is sent
-    once for each group of its bucket and not once for each other block."""
-    n = blocks.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("groups"))
-    few = n.limit(MOST_KEYS + 1).count() <= MOST_KEYS
-    placed = blocks.select("key", "fps").join(F.broadcast(n) if few else n, "key").withColumn("own", F.pmod(F.xxhash64("fps"), F.col("groups")).cast("int"))
-    cells = placed.select("key", "own", "fps", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("x")).select("key", F.least("own", "x").alias("row"), F.greatest("own", "x").alias("col"), "own", "fps")
-    names = [f"a{k}" for k in range(WORDS)] + [f"b{k}" for k in range(WORDS)]
-    schema = T.StructType([*_fp_fields("a"), *_fp_fields("b")])
-
-    def run(t: pa.Table) -> pa.Table:
-        own, row, col = (t.column(c).to_numpy() for c in ("own", "row", "col"))
-        fps = t.column("fps").to_pylist()
-        side = lambda g: np.frombuffer(b"".join(f for f, o in zip(fps, own, strict=True) if o == g), U).reshape(-1, WORDS)
-        same = bool(row[0] == col[0])
-        x = side(row[0])
-        y = x if same else side(col[0])
-        a, b = [np.zeros((0, WORDS), U)], [np.zeros((0, WORDS), U)]
+def _cell(x: np.ndarray, y: np.ndarray | None, radius: int, unlike: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of two groups of rows, or of one, in pieces of bounded size."""
+    own = y is None
+    y = x if own else y
+
+    def steps():
         for s in range(0, len(x), 2048):
-            for e in range(s if same else 0, len(y), 2048):
-                i, j = near_pairs(x[s : s + 2048], None if same and s == e else y[e : e + 2048], radius)
-                a.append(x[i + s])
-                b.append(y[j + e])
-        return pa.table([*_fp_arrays(np.concatenate(a)), *_fp_arrays(np.concatenate(b))], names=names)
+            for e in range(s if own else 0, len(y), 2048):
+                for i, j in _near_steps(_fp(x[s : s + 2048]), None if own and s == e else _fp(y[e : e + 2048]), radius):
+                    yield i + s, j + e
 
-    return cells.groupBy("key", "row", "col").applyInArrow(run, schema)
+    return _alike(x, y, steps(), unlike)
 
 
-def _fingerprinted(texts: DataFrame, width: int) -> DataFrame:
-    """(first word of the fingerprint, digest, text); copies met by the same task go once."""
+def _compare_blocks(blocks: DataFrame, radius: int, group: int = 16, words: int = WORDS, unlike: int = BITS) -> DataFrame:
+    """(a0, b0) of the buckets that were cut. A bucket's blocks fall into groups of about
+    ``group`` by a hash; every two groups are a cell of a grid and a task of its own, so a block
+    is sent once for each group of its bucket and not once for each other block. Rows are of
+    ``words`` words."""
+    n = blocks.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / group).cast("int").alias("groups"))
+    few = n.limit(MOST_KEYS + 1).count() <= MOST_KEYS
+    placed = blocks.select("key", "fps").join(F.broadcast(n) if few else n, "key").withColumn("own", F.pmod(F.xxhash64("fps"), F.col("groups")).cast("int"))
+    cells = placed.select("key", "own", "fps", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("x")).select("key", F.least("own", "x").alias("row"), F.greatest("own", "x").alias("col"), "own", "fps")
 
-    def run(batches):
-        seen = Seen()
-        for b in pieces(batches, 1, 250_000):
-            b = b.take(pa.array(seen.fresh(b.column(0).to_pylist()), pa.int64()))
-            if b.num_rows:
-                fp = fingerprints(min_hashes(*window_hashes(*letters(b.column(1)), width), 64))
-                yield pa.RecordBatch.from_arrays([pa.array(fp[:, 0].view(np.int64)), b.column(0), b.column(1)], names=["f", "digest", "text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides, cell = {}, None
+        for b in batches:
+            own, row, col = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("own", "row", "col"))
+            for o, f in zip(own, b.column(b.schema.get_field_index("fps")).to_pylist(), strict=True):
+                sides.setdefault(o, []).append(f)
+            cell = (row[0], col[0]) if row else cell
+        if cell is None:
+            return
+        x, y = (np.frombuffer(b"".join(sides.get(g, [])), U).reshape(-1, words) for g in cell)
+        yield from _cell(x, None if cell[0] == cell[1] else y, radius, unlike)
 
-    return texts.select("digest", "text").mapInArrow(run, T.StructType([T.StructField("f", _LONG), T.StructField("digest", T.BinaryType()), T.StructField("text", T.StringType())]))
+    return cells.groupBy("key", "row", "col").applyInArrow(run, "a0 long, b0 long")
 
 
 def _similar(pairs: DataFrame, width: int, least: float) -> DataFrame:
@@ -609,15 +812,19 @@ def class_links(df: DataFrame, id_col: str, text_col: str, width: int = 5, least
     radius = BITS if exact else int(mean + 4 * (mean * (1 - mean / BITS)) ** 0.5)
     texts = _texts(df, id_col, text_col, width)
     hot, n_texts = hot_slots(texts, width)
-    # About 16 MB of band rows a task, however many texts there are.
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_texts * bands * 8 * (1 + WORDS) // 16_000_000))
-    found = cut(_compare(_keyed_rows(texts, width, _prefixed(least) if exact else _banded(bands), hot, often, block), radius, block, tasks))
-    pairs = found.where("kind = 0").select("a0", "b0").unionByName(_compare_blocks(found.where("kind = 1"), radius).select("a0", "b0"))
-    pairs = pairs.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")).distinct()
-    # The first word of a fingerprint stands for the texts that have it; texts that share one
-    # come out together and are told apart by the exact comparison.
+    # A false rejection by both bits in 300,000 at the limit (they differ in 3 of 4 places by chance).
+    differ = 0.75 * (1 - least)
+    unlike = BITS if exact else int(BITS * differ + 4.5 * (BITS * differ * (1 - differ)) ** 0.5)
+    # About 16 MB of keys a task, however many texts there are.
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_texts * bands * WIDTH[BAND] // 16_000_000))
+    met = _met(_keyed_rows(texts, width, _prefixed(least) if exact else _banded(bands), hot, often, tasks), tasks)
+    found = cut(_compare(_with_sketches(met, tasks, often, block), radius, unlike, block, tasks))
+    pairs = found.where("kind = 0").select("a0", "b0").unionByName(_compare_blocks(found.where("kind = 1"), radius, words=ROW, unlike=unlike))
+    pairs = pairs.select(F.col("a0").alias("a"), F.col("b0").alias("b")).distinct()
+    # Texts that share an id come out together and are told apart by the exact comparison.
     need = pairs.select(F.col("a").alias("f")).unionByName(pairs.select(F.col("b").alias("f"))).distinct()
-    kept = cut(_fingerprinted(texts, width).join(need, "f", "left_semi").dropDuplicates(["digest"]))
+    f = F.conv(F.hex(F.substring("digest", 1, ID_BYTES)), 16, 10).cast("long").alias("f")
+    kept = cut(texts.select(f, "digest", "text").join(need, "f", "left_semi").dropDuplicates(["digest"]))
     a = kept.select(F.col("f").alias("a"), F.col("digest").alias("digest_a"), F.col("text").alias("text_a"))
     b = kept.select(F.col("f").alias("b"), F.col("digest").alias("digest_b"), F.col("text").alias("text_b"))
     with_text = pairs.join(a, "a").join(b, "b").where(F.col("digest_a") != F.col("digest_b"))
