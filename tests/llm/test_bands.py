@@ -72,3 +72,13 @@ def test_keys_of_one_text_go_no_further(spark, often):
     rows = nd._with_sketches(met, 3, 1 << 30, 8_192).collect()
     assert 0 < len(rows) < 300 and len({(x.part, x.f4) for x in rows}) == len(rows)
     assert len({x.f4 for x in rows if sum(y.part == x.part for y in rows) > 1}) >= 2
+
+
+def test_a_shared_motif_makes_few_candidates():
+    """4,000 texts of one bucket that share a motif and no more: pairs within the radius are many, candidates few."""
+    h = np.random.default_rng(11).integers(0, 2**63, (4_000, 120), dtype=np.uint64)
+    h[:, :16] = h[0, :16]
+    x = sketches(h.ravel(), 120)
+    within = sum(len(i) for i, _ in nd._near_steps(nd._fp(x), None, 51))
+    left = sum(b.num_rows for b in nd._cell(x, None, 51, 72))
+    assert within > 200_000 and left < within // 50, (within, left)
